@@ -87,16 +87,63 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))
 
 
+FILTER_BITS = 1 << 24
+
+
+def id_filter(ids: DataFrame, bits: int = FILTER_BITS):
+    """A broadcast bitmap over hashed ids (one long column): a semi-join's first sieve, of fixed size (2 MB)
+    whatever the input. It lets through every id of ``ids`` and, once very full, all others too; a join
+    must follow. It keeps long texts that no join wants out of the shuffle."""
+
+    def words(batches):
+        for b in batches:
+            h = mix64(b.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(bits - 1)
+            word, inverse = np.unique(h >> np.uint64(6), return_inverse=True)
+            value = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(value, inverse, np.uint64(1) << (h & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], names=["word", "value"])
+
+    spark = ids.sparkSession
+    rows = ids.mapInArrow(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    table_ = np.zeros(bits >> 6, np.int64)
+    table_[rows.column("word").to_numpy()] = rows.column("value").to_numpy()
+    return spark.sparkContext.broadcast(table_.view(np.uint64))
+
+
+def sieve(shared, ids: np.ndarray) -> np.ndarray:
+    """Which ids the filter lets through."""
+    words = shared.value
+    h = mix64(ids.view(np.uint64)) & np.uint64((len(words) << 6) - 1)
+    return (words[h >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def sifted(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``df`` without rows that ``id_filter(ids)`` rules out (null keys go, too)."""
+    shared = id_filter(ids.select(key))
+    small_batches(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            b = b.filter(b.column(key).is_valid())
+            if b.num_rows:
+                yield b.filter(pa.array(sieve(shared, b.column(key).to_numpy(zero_copy_only=False))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): one row ``(id, component)`` per endpoint,
     ``component`` the smallest id reachable. Loops and repeats are harmless; no edges, no rows.
-    Large-star then small-star until the edge set stands still: O(log n) rounds in practice, each a
+    Large-star then small-star until every edge points at a root: O(log n) rounds in practice, each a
     partial aggregation plus an equi-join that adaptive execution can split on hot ids."""
     cur = stage(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc"
     )
-    mark = None
     while True:
+        # done when every id hangs on one id that itself hangs on none
+        roles = cur.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(cur.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if roles.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty():
+            break
         # large-star: every larger neighbour of u hangs on u's smallest neighbour (or u)
         both = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -104,17 +151,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small-star: u and its smaller neighbours hang on the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
-        small = (
-            joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(low.select("a", F.col("m").alias("b")))
-            .where("a <> b")
-            .distinct()
-        )
-        cur = stage(small, "cc")
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == mark:
-            break
-        mark = now
+        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        cur = stage(small.where("a <> b").distinct(), "cc")
     return (
         cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
         .unionByName(cur.select(F.col("b").alias("id"), F.col("b").alias("component")))

@@ -13,7 +13,8 @@ that survive are counted exactly.
 
 Two rounds keep groups of copies cheap. Round 1 ships whole sets for the first ``FIRST`` bands and links
 within blocks, skipping pairs already connected, so a group of m near copies costs about m comparisons
-(very large blocks are dealt to tasks in pieces). Round 2 takes all bands but only blocks whose members
+(very large blocks are dealt to tasks in pieces). Texts whose sets are wanted are sifted by a
+fixed-size bitmap of ids before any join, so whole texts are never shuffled. Round 2 takes all bands but only blocks whose members
 still lie in different components, ships bitmaps, and confirms survivors against the sets. Blocks of more
 than ``BLOCK`` members are dealt as pairs of pieces, each a task, so all their pairs are still compared.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from weft.llm.common import Forest, arrow_map, components, mix64, small_batches, stage, table
+from weft.llm.common import Forest, arrow_map, components, mix64, sifted, small_batches, stage, table
 
 WIDTH = 5
 PERCENT = 80
@@ -217,7 +218,7 @@ def _edges(rows, names=("a", "b")):
 
 
 def link_blocks(batches):
-    """Round 1: blocks of whole sets -> a spanning forest of exact links."""
+    """Round 1: blocks of whole sets -> stars, each set linked to the smallest node of its component."""
     out: list = []
     for _, rows in _grouped(batches, ["block", "node", "members"]):
         sets = [np.frombuffer(r[1], np.uint64) for r in rows]
@@ -226,7 +227,12 @@ def link_blocks(batches):
             for x, y in zip(i.tolist(), j.tolist()):
                 if forest.find(x) != forest.find(y) and linked(sets[x], sets[y]):
                     forest.join(x, y)
-                    out.append((rows[x][0], rows[y][0]))
+        ids = [r[0] for r in rows]
+        low: dict[int, int] = {}
+        for k, node in enumerate(ids):
+            top = forest.find(k)
+            low[top] = min(node, low.get(top, node))
+        out += [(node, low[forest.find(k)]) for k, node in enumerate(ids) if node != low[forest.find(k)]]
         if len(out) > 20_000:
             yield _edges(out)
             out = []
@@ -289,10 +295,11 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, members) for nodes (node, doc_id): the sets, made again from one document each."""
 
     def work(batch):
-        return {"node": batch.column("node"), "members": [shingles(t).tobytes() for t in batch.column("text").to_pylist()]}
+        return {"doc_id": batch.column("doc_id"), "members": [shingles(t).tobytes() for t in batch.column("text").to_pylist()]}
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, "doc_id").select("node", "text")
-    return arrow_map(chosen, work, "node long, members binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = arrow_map(sifted(texts, nodes), work, "doc_id long, members binary")
+    return made.join(nodes, "doc_id").select("node", "members")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

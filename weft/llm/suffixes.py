@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from weft.llm.common import arrow_map, mix64, small_batches, stage, table
+from weft.llm.common import arrow_map, mix64, sifted, small_batches, stage, table
 
 LENGTH = 200
 GRAM = 100
@@ -227,7 +227,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(anc, pa.int64()), pa.array(cks, pa.int64()), pa.array(lo, pa.int64()), pa.array(ctx, pa.binary())], names=["doc_id", "anchor", "ck", "lo", "ctx"])
 
     small_batches(spark, 256)
-    cuts = stage(long_docs.join(wanted, ["doc_id", "sha"]).select("doc_id", "text", "live").mapInArrow(cut, "doc_id long, anchor long, ck long, lo long, ctx binary"), "suffix-contexts")
+    cuts = stage(sifted(long_docs, wanted).join(wanted, ["doc_id", "sha"]).select("doc_id", "text", "live").mapInArrow(cut, "doc_id long, anchor long, ck long, lo long, ctx binary"), "suffix-contexts")
     unique = cuts.groupBy("anchor", "ck", "ctx").agg(F.count("*").alias("copies"))
     small_batches(spark, 2048)
     shards = unique.repartition(parts * 4, "anchor").mapInArrow(scan_shard, "anchor long, ck long, found array<int>")
@@ -258,8 +258,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     named = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     lone = prof.where("copies = 1").select("doc_id", "sha")
-    edits = found.join(lone, "doc_id")
-    done = arrow_map(named.join(edits, ["doc_id", "sha"]).select("sha", "text", "starts"), cut, "sha string, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    edits = stage(found.join(lone, "doc_id"), "suffix-edits")
+    done = arrow_map(sifted(named, edits).join(edits, ["doc_id", "sha"]).select("sha", "text", "starts"), cut, "sha string, n_removed long, n_spans long, kept_sha256 string, kept binary")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     return prof.join(done, "sha", "left").select(
         "doc_id",
