@@ -1,5 +1,8 @@
-"""Registered queries."""
+"""Registered queries; importing this package registers them."""
+
+from weft.plans import graph  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """Component statistics of the co-purchase graph."""
+    return graph.component_stats(spark, sf_dir)
