@@ -44,5 +44,6 @@ def resolve(spec: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])
     parts = F.split(F.trim(spec), r"[\s,]+")
     number = lambda i: F.when(F.size(parts) == 3, F.get(parts, F.lit(i)).try_cast("double"))
-    triple = from_hsv(number(0), number(1), number(2))
+    h, sat, v = number(0), number(1), number(2)
+    triple = F.when(h.isNotNull() & sat.isNotNull() & v.isNotNull(), from_hsv(h, sat, v))
     return F.when(spec.startswith("#"), spec).otherwise(F.coalesce(F.try_element_at(table, F.lower(spec)), triple, spec))

@@ -1,6 +1,6 @@
 """Registered queries; importing this package registers them."""
 
-from weft.plans import graph  # noqa: F401
+from weft.plans import algorithms, graph  # noqa: F401
 
 
 def flagship(spark, sf_dir):
