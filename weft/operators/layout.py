@@ -202,6 +202,7 @@ def circular_layout(names, pairs, gap: float = 72.0) -> np.ndarray:
     for k, v in kernels.biconnected(names, pairs):
         blocks.setdefault(k, []).append(v)
     at: dict = {}
+    hung: dict = {}
     todo = sorted(blocks.values(), key=lambda b: (-len(b), b))
     x0 = 0.0
     while todo:
@@ -210,7 +211,9 @@ def circular_layout(names, pairs, gap: float = 72.0) -> np.ndarray:
         r = gap * len(block) / (2 * math.pi) if len(block) > 1 else 0.0
         known = next((v for v in block if v in at), None)
         order = [known, *[v for v in block if v != known]] if known is not None else block
-        base = math.atan2(at[known][1], at[known][0]) if known is not None else 0.0
+        # further blocks on one cut node fan out from it
+        base = math.atan2(at[known][1], at[known][0]) + 1.1 * hung.get(known, 0) if known is not None else 0.0
+        hung[known] = hung.get(known, 0) + 1
         mid = (at[known][0] + r * math.cos(base), at[known][1] + r * math.sin(base)) if known is not None else (x0, 0.0)
         for i, v in enumerate(order):
             a = base + math.pi + 2 * math.pi * i / len(order)
