@@ -87,7 +87,7 @@ def train(labelled: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, float]
         return {}
     counts = count_features(labelled).where(F.col("bad") + F.col("good") >= LEAST_DOCS)
     prior = PRIOR * (F.col("bad") + F.col("good")) / float(bad + good)
-    odds = lambda c, size: F.log((F.col(c) + prior) / (F.lit(size + PRIOR) - F.col(c) - prior))
+    odds = lambda c, size: F.log((F.col(c) + prior) / (F.lit(size + PRIOR + 0.5) - F.col(c) - prior))
     delta = odds("bad", bad) - odds("good", good)
     err = F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior))
     scored = counts.select("feature", F.when(delta > 0, F.greatest(F.lit(0.0), delta - Z * err)).otherwise(F.least(F.lit(0.0), delta + Z * err)).alias("s")).where("abs(s) > 0.1")
