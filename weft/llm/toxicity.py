@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import arrow_map, fold, small_batches, stage, table
+from weft.llm.common import arrow_map, fold, sifted, small_batches, stage, table
 
 PREFIX = 5
 PRIOR = 20.0
@@ -173,7 +173,8 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50):
 def score(docs: DataFrame, labelled_ids: DataFrame) -> DataFrame:
     """docs (doc_id, text) scored by a model learned from ``labelled_ids`` (doc_id, toxic)."""
     flags = labelled_ids.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    labelled = docs.select("doc_id", "text").join(flags, "doc_id")
+    # labels grow with the corpus: never broadcast; only texts that have a label are shuffled
+    labelled = sifted(docs.select("doc_id", "text"), flags).join(flags.hint("shuffle_hash"), "doc_id")
     model = train(labelled)
     found = stage(evidence(docs, model), "toxic")
     known = found.join(flags, "doc_id").select("x", "toxic", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
