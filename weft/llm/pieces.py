@@ -32,7 +32,7 @@ BLANK = "\u2581"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 TEMPERATURE = 1.0
 SEED = 20240607
-SLICE_CHARS = 1_500_000  # characters whose lattice is in memory at a time (a longer text is one slice)
+SLICE_CHARS = 500_000  # characters whose lattice is in memory at a time (a longer text is one slice)
 DENSE = 256
 
 
