@@ -52,13 +52,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn, schema: str, rows: int = 2048) -> DataFrame:
     """``mapInArrow`` for a function of one RecordBatch returning a dict of columns."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = df.sparkSession
-    small_batches(spark)
+    small_batches(spark, rows)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):

@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 TEMPERATURE = 1.0
 SEED = 20240607
 SLICE_CHARS = 500_000  # characters whose lattice is in memory at a time (a longer text is one slice)
-DENSE = 256
+DENSE = 128
 
 
 def _order(values: np.ndarray) -> np.ndarray:
@@ -324,7 +324,7 @@ def encode(docs: DataFrame, key: str = "doc_id", path: str = MODEL, temperature:
             "lossless": [x == (t or "").encode() for x, t in zip(back, raw)],
         }
 
-    return arrow_map(docs.select(F.col(key).cast("long").alias(key), "text"), work, f"{key} long, ids array<int>, n_tokens long, ids_sha256 string, lossless boolean")
+    return arrow_map(docs.select(F.col(key).cast("long").alias(key), "text"), work, f"{key} long, ids array<int>, n_tokens long, ids_sha256 string, lossless boolean", rows=512)
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", path: str = MODEL) -> DataFrame:
