@@ -1,12 +1,16 @@
 """Toxicity by maximum-scoring segments.
 
 Model: for every word, and every word's leading ``PREFIX`` characters, the documents of either class
-that hold it are counted over all labelled training rows. With a Dirichlet prior (the features' overall
+that hold it are counted over all labelled training rows; rates are shares of all such counts of a class,
+so the classes may differ in length. With a Dirichlet prior (the features' overall
 rate, ``PRIOR`` pseudo-documents) this gives log-odds and their standard error; a feature's score is the
-bound of the log-odds nearer to zero (``Z`` standard errors), so rare features say nothing.
+bound of the log-odds nearer to zero (``Z`` standard errors), so rare features say nothing. A feature
+counts only if its likelihood ratio (signed root) passes ``sqrt(2 ln V)``, the most that V features
+reach by chance: the vocabulary grows with the corpus, and without this so does the number of features
+that look toxic by luck.
 
-Scan: a token scores the strongest of its features, all other tokens ``-DRIFT``, which makes the
-expected score negative. The linear-time all-maximal-segments scan finds every maximal-scoring segment
+Scan: a token scores the strongest of its features less ``DRIFT``, so leanings of common words make no
+passage and the expected score is negative. The linear-time all-maximal-segments scan finds every maximal-scoring segment
 (toxic passage); significance follows from extreme-value theory: with Karlin-Altschul
 lambda = 1 (scores are log-odds), a text of n tokens has ``E = K n exp(-S)`` chance segments as good as
 S. The document statistic is the sum over segments of max(0, S - log(K n)) - evidence beyond what
@@ -35,8 +39,8 @@ from weft.llm.common import arrow_map, fold, sifted, small_batches, stage, table
 
 PREFIX = 5
 PRIOR = 20.0
-Z = 1.64
-DRIFT = 0.05
+Z = 1.0
+DRIFT = 0.5
 K = 0.02
 VOCABULARY = 100_000
 CALIBRATION_ROWS = 50_000
@@ -85,10 +89,21 @@ def train(labelled: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, float]
     bad, good = int(n[0] or 0), int((n[1] or 0) - (n[0] or 0))
     if not bad or not good:
         return {}
-    counts = count_features(labelled).where(F.col("bad") + F.col("good") >= LEAST_DOCS)
-    prior = PRIOR * (F.col("bad") + F.col("good")) / float(bad + good)
-    odds = lambda c, size: F.log((F.col(c) + prior) / (F.lit(size + PRIOR + 0.5) - F.col(c) - prior))
-    delta = odds("bad", bad) - odds("good", good)
+    counts = stage(count_features(labelled).where(F.col("bad") + F.col("good") >= LEAST_DOCS), "toxic-features")
+    size, in_bad, in_good = counts.agg(F.count("*"), F.sum("bad"), F.sum("good")).first()
+    if not in_bad or not in_good:
+        return {}
+    chance, held, pairs = 2 * math.log(max(size, 2)), F.col("bad") + F.col("good"), float(in_bad + in_good)
+
+    def term(seen, total, rate):
+        return F.when(seen > 0, seen * F.log(seen / (F.lit(float(total)) * rate))).otherwise(F.lit(0.0))
+
+    rate, rest = held / pairs, 1 - held / pairs
+    ratio = term(F.col("bad"), in_bad, rate) + term(F.col("good"), in_good, rate) + term(in_bad - F.col("bad"), in_bad, rest) + term(in_good - F.col("good"), in_good, rest)
+    counts = counts.where(2 * ratio > chance)
+    prior = PRIOR * held / float(bad + good)
+    share = lambda c, total: F.log((F.col(c) + prior) / F.lit(total + PRIOR * pairs / (bad + good)))
+    delta = share("bad", in_bad) - share("good", in_good)
     err = F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior))
     scored = counts.select("feature", F.when(delta > 0, F.greatest(F.lit(0.0), delta - Z * err)).otherwise(F.least(F.lit(0.0), delta + Z * err)).alias("s")).where("abs(s) > 0.1")
     top = scored.orderBy(F.abs("s").desc(), "feature").limit(vocabulary).collect()
