@@ -128,3 +128,36 @@ def test_dot_parser():
     assert {r[2] for r in rows if r[1] == "node"} == {"a", "b", "c", "d", "e"}
     assert next(r[9] for r in rows if r[1] == "edge")["label"] == 'x"y'
     assert Parser("").parse() == [] and Parser("graph { a -- b").parse()
+
+
+def test_record_labels():
+    from weft.sources import records
+
+    shape = lambda label: [(p, f.port, f.text, f.lr) for p, f in records.walk(records.parse(label)) if not f.kids]
+    assert shape("a|<p>b|{c|d}") == [("0", "", "a", False), ("1", "p", "b", False), ("2.0", "", "c", True), ("2.1", "", "d", True)]
+    assert shape("{a|b}") == [("0", "", "a", True), ("1", "", "b", True)] and not records.parse("{a|b}").lr
+    assert shape("<p> x\\|y \\{z\\}") == [("", "p", "x|y {z}", True)] and shape("") == [("", "", "", True)]
+    assert [f[:2] for f in shape("{{<a>}|b}")] == [("0.0", "a"), ("1", "")]
+    for odd in ("{a", "a}", "{a}b", "x{a}", "{a|{b}"):
+        assert shape(odd) == [("", "", odd, True)]
+    root = records.parse("aa|<p>b|{c|d|eeee}")
+    records.measure(root)
+    a, b, c = root.kids
+    assert root.width == pytest.approx(a.width + b.width + c.width) and a.height == b.height == c.height == root.height
+    assert sum(k.height for k in c.kids) == pytest.approx(root.height) and {k.width for k in c.kids} == {c.width}
+    assert b.x == a.width and c.kids[1].y == pytest.approx(c.kids[0].height)
+    assert records.port_center(root, "p") == pytest.approx((a.width + b.width / 2, root.height / 2)) and records.port_center(root, "q") is None
+
+
+def test_polynomial_roots(spark):
+    from pyspark.sql import functions as F
+
+    from weft.functions import solve
+
+    r = random.Random(12)
+    rows = [tuple(float(r.randint(-5, 5)) for _ in range(4)) for _ in range(200)] + [(0.0, 0.0, 0.0, 0.0), (1.0, 0.0, 0.0, 0.0), (-1.0, 3.0, -3.0, 1.0), (0.0, 0.0, 0.0, 2.0)]
+    n, *roots = solve.cubic(*[F.col(c) for c in "abcd"])
+    for x in spark.createDataFrame(rows, "a double, b double, c double, d double").select("*", n.alias("n"), *[k.alias(f"r{i}") for i, k in enumerate(roots)]).collect():
+        found = [x[f"r{i}"] for i in range(3) if x[f"r{i}"] is not None]
+        assert len(found) == (0 if x["n"] == solve.ALL else x["n"])
+        assert all(abs(x["a"] + x["b"] * t + x["c"] * t**2 + x["d"] * t**3) < 1e-5 * (1 + abs(t)) ** 3 for t in found)

@@ -1,6 +1,6 @@
 """Registered queries; importing this package registers them."""
 
-from weft.plans import algorithms, graph, layouts  # noqa: F401
+from weft.plans import algorithms, graph, layouts, spatial  # noqa: F401
 
 
 def flagship(spark, sf_dir):
