@@ -161,3 +161,40 @@ def test_polynomial_roots(spark):
         found = [x[f"r{i}"] for i in range(3) if x[f"r{i}"] is not None]
         assert len(found) == (0 if x["n"] == solve.ALL else x["n"])
         assert all(abs(x["a"] + x["b"] * t + x["c"] * t**2 + x["d"] * t**3) < 1e-5 * (1 + abs(t)) ** 3 for t in found)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_measures(seed):
+    from weft.operators import measures
+
+    names, pairs = random_graph(seed)
+    want = set()
+    edges = set(pairs)
+    for k in range(1, len(names) + 1):
+        for c in itertools.permutations(names, k):
+            if c[0] == min(c) and all((c[i - 1], c[i]) in edges for i in range(k)):
+                want.add(c)
+    got = measures.simple_cycles(names, pairs)
+    assert set(got) == want and len(got) == len(want)
+    both = {v: s for v, s in reach(names, pairs).items()}
+    dist = {(a, b): d for a, b, d in measures.circuit_distances(names, pairs)}
+    assert set(dist) == {(a, b) for a in names for b in names if a < b and b in both[a]}
+    chosen = [n for _, n in measures.pivots(names, pairs, 3)]
+    assert chosen[0] == names[0] and len(set(chosen)) == min(3, len(names))
+
+
+def test_circuit_distance_values():
+    from weft.operators import measures
+
+    triangle = {(a, b): d for a, b, d in measures.circuit_distances([0, 1, 2, 3], [(0, 1), (1, 2), (2, 0), (2, 3)])}
+    assert triangle[0, 1] == pytest.approx(72 * math.sqrt(2 / 3)) and triangle[2, 3] == pytest.approx(72) and triangle[0, 3] == pytest.approx(72 * math.sqrt(5 / 3))
+    assert measures.shortest_cycle([(0, 1), (0, 1, 2), (0, 3, 1, 2)], 1, 2) == (0, 1, 2)
+
+
+def test_command_line(spark, tmp_path):
+    from weft import cli
+
+    (tmp_path / "a.gv").write_text("digraph { a -> b -> c; a -> c; d }")
+    rows = lambda tool: [tuple(r) for r in cli.run(spark, tool, [str(tmp_path / "a.gv")]).collect()]
+    assert [r[1:] for r in rows("gc")] == [(4, 3)] and sorted(r[1:] for r in rows("ccomps")) == [(1, 0), (3, 3)]
+    assert len(rows("tred")) == 2 and len(rows("sccmap")) == 4
