@@ -178,6 +178,12 @@ def typed_accessors(spark, sf):
     return views.table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr("try_cast(substr(concat(l_returnflag, l_linenumber), 2) AS int)").alias("weight"), F.expr("try_cast(l_returnflag AS double)").alias("minlen"))
 
 
+@query("typed_accessors_all", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, try_cast(substr(l_returnflag || l_linenumber, 2) AS INT) AS weight, try_cast(l_returnflag AS DOUBLE) AS minlen FROM lineitem")
+def typed_accessors_all(spark, sf):
+    """typed_accessors over every row; its own statement fixes the rows with l_orderkey % 50 = 0."""
+    return views.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr("try_cast(substr(concat(l_returnflag, l_linenumber), 2) AS int)").alias("weight"), F.expr("try_cast(l_returnflag AS double)").alias("minlen"))
+
+
 _NAMES = "ren AS (SELECT name, CASE WHEN name % 3 = 0 THEN name + 1000000 ELSE name END AS new_name FROM v4)"
 
 
