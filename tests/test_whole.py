@@ -1,9 +1,14 @@
 """Queries over whole tables: no row of the input is left out."""
 
+import math
+import random
+
 from tests.conftest import SF
 
-import weft.plans  # noqa: F401
 from weft import views
+from weft.functions import color
+from weft.operators import kernels
+from weft.plans import algorithms
 from weft.registry import QUERIES
 
 
@@ -11,3 +16,39 @@ def test_typed_accessors_all_keeps_every_row(spark):
     got = QUERIES["typed_accessors_all"](spark, SF).collect()
     assert len(got) == views.table(spark, SF, "lineitem").count()
     assert {r["l_orderkey"] % 50 for r in got} == set(range(50))
+
+
+def test_edgepaint_colors_every_edge(spark):
+    edges = {tuple(r) for r in views.copurchase(spark, SF).where("tail <> head").select("tail", "head").collect()}
+    got = {tuple(map(int, r["edge"].split("-"))): r["color"] for r in QUERIES["edgepaint_colors"](spark, SF).collect()}
+    assert set(got) == edges and any(t % 2 for t, _ in edges)
+    order = sorted(edges)
+    place = {e: k for k, e in enumerate(order)}
+    clash = [(place[r["tail1"], r["head1"]], place[r["tail2"], r["head2"]]) for r in QUERIES["edgepaint_crossings_all"](spark, SF).collect()]
+    colors = kernels.greedy_colors(len(order), sorted(clash), len(color.EDGE_PALETTE))
+    assert got == {e: color.EDGE_PALETTE[c] for e, c in zip(order, colors)}
+
+
+def compat(a, b):
+    la, lb = (math.hypot(x[0] - x[2], x[1] - x[3]) for x in (a, b))
+    if not la or not lb:
+        return 0.0
+    av = (la + lb) / 2
+    angle = abs(((a[2] - a[0]) * (b[2] - b[0]) + (a[3] - a[1]) * (b[3] - b[1])) / (la * lb))
+    scale = 2 / (max(la, lb) / av + av / min(la, lb))
+    away = math.hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2)
+    return 0.0 if angle < 0.1 or scale < 0.1 else angle * scale * av / (av + away)
+
+
+def test_compatible_pairs_equal_brute_force(spark):
+    r = random.Random(3)
+    segs = [[r.uniform(-90, 90) for _ in range(2)] for _ in range(160)]
+    segs = [(x, y, x + d * math.cos(t), y + d * math.sin(t)) for (x, y), d, t in ((s, 2 ** r.uniform(0, 7), r.choice([0, 0.1, 1.5, r.random()])) for s in segs)]
+    # the edges of the bounds: lengths by 1 + 2 * sqrt(2), midpoints as far as the length, equal and empty segments
+    segs += [(0.0, 0.0, 64.0, 0.0), (64.0, 0.0, 128.0, 0.0), (32 - 8.36, 0.0, 32 + 8.36, 0.0), (0.0, 0.0, 64.0, 0.0), (5.0, 5.0, 5.0, 5.0), (0.0, 64.0, 64.0, 64.0)]
+    df = spark.createDataFrame([(i % 7, i, *map(float, s)) for i, s in enumerate(segs)], "tail long, head long, ax double, ay double, bx double, by double")
+    got = [tuple(x) for x in algorithms.compatible_pairs(df).collect()]
+    keyed = sorted(((i % 7, i), s) for i, s in enumerate(segs))
+    want = {(*p, *q): round(k, 5) for n, (p, a) in enumerate(keyed) for q, b in keyed[n + 1 :] if round(k := compat(a, b), 6) >= 0.5}
+    assert len(got) == len(want) and {g[:4]: round(g[4], 5) for g in got}.keys() == want.keys()
+    assert all(abs(g[4] - want[g[:4]]) < 1e-4 for g in got)

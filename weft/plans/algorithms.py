@@ -100,7 +100,12 @@ _CCW = "(({2}x - {0}x) * ({1}y - {0}y) - ({1}x - {0}x) * ({2}y - {0}y))"
 
 
 def _segments(spark, sf):
-    e = views.copurchase(spark, sf).where("tail <> head AND tail % 2 = 0")
+    """The segments that the statements of edgepaint_crossings and mingle_compat fix: even tails only."""
+    return _all_segments(spark, sf).where("tail % 2 = 0")
+
+
+def _all_segments(spark, sf):
+    e = views.copurchase(spark, sf).where("tail <> head")
     at = lambda c: ((F.col(c) * 37 % 1009).cast("double"), (F.col(c) * 53 % 997).cast("double"))
     (ax, ay), (bx, by) = at("tail"), at("head")
     return e.select("tail", "head", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
@@ -129,13 +134,30 @@ def edgepaint_crossings(spark, sf):
     return crossing_pairs(_segments(spark, sf))
 
 
+_ALL = _POS.replace(" AND tail % 2 = 0", "")
+
+
+@query("edgepaint_crossings_all", f"""WITH {G4}, {_ALL}, s AS (SELECT tail, head, ax, ay, bx, by_ AS by FROM pos),
+c AS (SELECT a.tail AS tail1, a.head AS head1, b.tail AS tail2, b.head AS head2,
+ ((b.ax - a.ax) * (a.by - a.ay) - (a.bx - a.ax) * (b.ay - a.ay)) AS s1, ((b.bx - a.ax) * (a.by - a.ay) - (a.bx - a.ax) * (b.by - a.ay)) AS s2,
+ ((a.ax - b.ax) * (b.by - b.ay) - (b.bx - b.ax) * (a.ay - b.ay)) AS s3, ((a.bx - b.ax) * (b.by - b.ay) - (b.bx - b.ax) * (a.by - b.ay)) AS s4
+ FROM s a JOIN s b ON (a.tail, a.head) < (b.tail, b.head))
+SELECT tail1, head1, tail2, head2 FROM c WHERE s1 * s2 < 0 AND s3 * s4 < 0""")
+def edgepaint_crossings_all(spark, sf):
+    return crossing_pairs(_all_segments(spark, sf))
+
+
 @query("edgepaint_colors")
 def edgepaint_colors(spark, sf):
     """Greedy colouring of the crossing graph in edge order, per group of edges that cross transitively."""
-    clash = crossing_pairs(_segments(spark, sf))
+    return edge_colors(_all_segments(spark, sf))
+
+
+def edge_colors(segs):
+    clash = crossing_pairs(segs)
     key = lambda t, h: F.concat_ws("-", F.lpad(F.col(t).cast("string"), 9, "0"), F.lpad(F.col(h).cast("string"), 9, "0"))
     pairs = clash.select(key("tail1", "head1").alias("tail"), key("tail2", "head2").alias("head"))
-    names = _segments(spark, sf).select(key("tail", "head").alias("name"))
+    names = segs.select(key("tail", "head").alias("name"))
 
     def run(ids, ends):
         place = {n: k for k, n in enumerate(ids)}
@@ -161,6 +183,39 @@ def mingle_compat(spark, sf):
     return out.where("compat >= 0.5")
 
 
+def compatible_pairs(segs, fine: int = 4):
+    """Pairs of segments with compatibility from 0.5 on. Angle, scale and position are at most 1 each, so such a
+    pair has lengths within a factor of 1 + 2 * sqrt(2) < 4 and midpoints no further apart than the longer one:
+    the longer segment stands in one cell of the grid of its length class (a power of two), the shorter in the cells
+    around its own in the grids of its class and the next two, and the pair meets in exactly one of them."""
+    side = F.pow(F.lit(2.0), F.col("level") + 1) * (1.001 / fine)  # a little wide, as compatibilities are rounded
+    lengths = segs.withColumn("len", geometry.distance(*(F.col(x) for x in ("ax", "ay", "bx", "by")))).where("len > 0")
+    cells = lambda df: df.withColumn("gx", F.floor((F.col("ax") + F.col("bx")) / 2 / side)).withColumn("gy", F.floor((F.col("ay") + F.col("by")) / 2 / side))
+    level = F.floor(F.log2("len"))
+    near = F.explode(F.sequence(F.lit(-fine), F.lit(fine)))
+    long = cells(lengths.withColumn("level", level)).alias("a")
+    short = cells(lengths.withColumn("level", F.explode(F.sequence(level, level + 2)))).withColumn("dx", near).withColumn("dy", near)
+    short = short.withColumn("gx", F.col("gx") + F.col("dx")).withColumn("gy", F.col("gy") + F.col("dy")).drop("dx", "dy").alias("b")
+    c = F.col
+    rank = lambda t: F.struct(c(f"{t}.len"), c(f"{t}.tail"), c(f"{t}.head"))
+    on = (c("a.level") == c("b.level")) & (c("a.gx") == c("b.gx")) & (c("a.gy") == c("b.gy")) & (rank("b") < rank("a"))
+    k = geometry.compatibility(*(c(f"{t}.{x}") for t in "ab" for x in ("ax", "ay", "bx", "by")))
+    one, two = (F.struct(c(f"{t}.tail"), c(f"{t}.head")) for t in "ab")
+    out = long.join(short, on).select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q"), F.round(k, 6).alias("compat"))
+    return out.where("compat >= 0.5").select(c("p.tail").alias("tail1"), c("p.head").alias("head1"), c("q.tail").alias("tail2"), c("q.head").alias("head2"), "compat")
+
+
+@query("mingle_compat_all", f"""WITH {G4}, {_ALL}, s AS (SELECT *, sqrt((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_)) AS len FROM pos),
+p AS (SELECT a.tail AS tail1, a.head AS head1, b.tail AS tail2, b.head AS head2, a.len AS la, b.len AS lb, (a.len + b.len) / 2 AS av,
+ abs(((a.bx - a.ax) * (b.bx - b.ax) + (a.by_ - a.ay) * (b.by_ - b.ay)) / (a.len * b.len)) AS ang,
+ sqrt(((a.ax + a.bx) / 2 - (b.ax + b.bx) / 2) * ((a.ax + a.bx) / 2 - (b.ax + b.bx) / 2) + ((a.ay + a.by_) / 2 - (b.ay + b.by_) / 2) * ((a.ay + a.by_) / 2 - (b.ay + b.by_) / 2)) AS away
+ FROM s a JOIN s b ON (a.tail, a.head) < (b.tail, b.head) WHERE a.len > 0 AND b.len > 0),
+q AS (SELECT *, 2 / (greatest(la, lb) / av + av / least(la, lb)) AS sc FROM p)
+SELECT tail1, head1, tail2, head2, round(CASE WHEN ang < 0.1 OR sc < 0.1 THEN 0.0 ELSE ang * sc * av / (av + away) END, 6) AS compat FROM q WHERE compat >= 0.5""")
+def mingle_compat_all(spark, sf):
+    return compatible_pairs(_all_segments(spark, sf))
+
+
 @query("dot_lines", """SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^[A-Za-z_][A-Za-z_0-9]*$') THEN p_name ELSE '"' || replace(p_name, '"', '\\"') || '"' END
  || ' [type=' || CASE WHEN regexp_matches(p_type, '^[A-Za-z_][A-Za-z_0-9]*$') THEN p_type ELSE '"' || p_type || '"' END || '];' AS line FROM part""")
 def dot_lines(spark, sf):
