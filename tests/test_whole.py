@@ -7,6 +7,7 @@ from tests.conftest import SF
 
 from weft import views
 from weft.functions import color
+from weft.llm import licenses
 from weft.operators import kernels
 from weft.plans import algorithms
 from weft.registry import QUERIES
@@ -52,3 +53,17 @@ def test_compatible_pairs_equal_brute_force(spark):
     want = {(*p, *q): round(k, 5) for n, (p, a) in enumerate(keyed) for q, b in keyed[n + 1 :] if round(k := compat(a, b), 6) >= 0.5}
     assert len(got) == len(want) and {g[:4]: round(g[4], 5) for g in got}.keys() == want.keys()
     assert all(abs(g[4] - want[g[:4]]) < 1e-4 for g in got)
+
+
+def test_licenses_two_copies_at_every_offset():
+    s, r = licenses.Scanner(), random.Random(4)
+    for name in ("apache-2.0-header", "bsd-redistribution", "mit-full"):
+        tw = licenses.words_of(licenses.TEMPLATES[name])[0]
+        for offset in range(60):
+            # each word of the template more than once, so no word is an anchor
+            drop = set(r.sample(range(1, len(tw) - 1), len(tw) // 10)) if offset % 2 else ()
+            copy = " ".join(w for i, w in enumerate(tw) if i not in drop)
+            text = " ".join(["the"] + ["of", "any"] * (offset // 2) + ["the"] * (offset % 2)) + f" {copy} the of the {copy} the"
+            got = [f for f in s.scan(text) if f[0] == name]
+            assert len(got) == 2, (name, offset, got)
+            assert all(f[3] > 0.9 - 0.04 * bool(drop) for f in got)

@@ -179,21 +179,41 @@ class Scanner:
             have = Counter(w for w in part if w in counts)
             if sum(min(n, have[w]) for w, n in counts.items()) < self.coverage * len(tw):
                 continue
-            pairs = align(tw, part)
+            first, pairs = 0, align(tw, part)
             if len(pairs) < self.coverage * len(tw):
                 # repeated words hide the anchors: look at each place where the template can begin
-                if len(part) > len(tw) + SLACK:
-                    width = len(tw) + SLACK
-                    half = max(1, width // 2)
-                    best = max(((len(align(tw, part[i : i + width])), -i) for i in range(0, len(part), half)), default=(0, 0))
-                    if best[0] >= self.coverage * len(tw):
-                        i = -best[1]
-                        pairs = [(t, j + i) for t, j in align(tw, part[i : i + width])]
+                first, pairs = self._place(tw, counts, part)
                 if len(pairs) < self.coverage * len(tw):
                     continue
             a, b = pairs[0][1], pairs[-1][1] + 1
             found.append((name, places[lo + a][0], places[lo + b - 1][1], round(len(pairs) / len(tw), 4), len(tw)))
-            todo += [(lo, lo + a), (lo + b, hi)]
+            todo += [(lo + first, lo + a), (lo + b, hi)]
+
+    def _place(self, tw, counts, part) -> tuple[int, list[tuple[int, int]]]:
+        """The best alignment near the first start that covers enough, and that start; windows whose words cannot
+        reach the coverage are passed over, and no start before the first has to be looked at again."""
+        need = self.coverage * len(tw)
+        for width in (len(tw) + SLACK, 2 * len(tw) + SLACK):  # without and with a long insertion
+            have, bound, best, score, first, end = Counter(), 0, [], 0, None, 0
+            for i, w in enumerate(part):
+                if first is not None and i > first + width:
+                    break
+                while end < len(part) and end < i + width:
+                    x, end = part[end], end + 1
+                    have[x] += 1
+                    bound += have[x] <= counts.get(x, 0)
+                if w in counts and bound >= need and score < len(tw):
+                    pairs = align(tw, part[i : i + width])
+                    if len(pairs) >= need:
+                        first = i if first is None else first
+                        # foreign words inside count against it, so it takes no words of the next copy
+                        if (tight := 2 * len(pairs) - (pairs[-1][1] + 1 - pairs[0][1])) > score or not best:
+                            score, best = tight, [(t, j + i) for t, j in pairs]
+                bound -= have[w] <= counts.get(w, 0)
+                have[w] -= 1
+            if best:
+                return first, best
+        return 0, []
 
 
 _SCANNER: list[Scanner] = []
