@@ -67,3 +67,17 @@ def test_licenses_two_copies_at_every_offset():
             got = [f for f in s.scan(text) if f[0] == name]
             assert len(got) == 2, (name, offset, got)
             assert all(f[3] > 0.9 - 0.04 * bool(drop) for f in got)
+
+
+def test_licenses_long_insertion():
+    s = licenses.Scanner()
+    for name in ("apache-2.0-header", "bsd-redistribution", "isc", "mit-full"):
+        tw = licenses.words_of(licenses.TEMPLATES[name])[0]
+        half = len(tw) // 2
+        for n in (0, 7, 8, 20, len(tw)):
+            notice = " ".join(tw[:half] + ["zzz"] * n + tw[half:])
+            for text in (notice, f"some words of the {notice} and the rest", f"{notice} {'qqq ' * 300} {notice}"):
+                got = [f for f in s.scan(text) if f[0] == name]
+                assert len(got) == text.count(notice), (name, n, got)
+                assert all(f[3] >= 0.95 for f in got)
+        assert name not in [f[0] for f in s.scan(" ".join(tw[:half] + ["zzz"] * (len(tw) + 9) + tw[half:]))]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from weft.llm.common import arrow_map, table, texts
 
 COVERAGE = 0.8
-SLACK = 8  # foreign words in a row that do not end a stretch
+SLACK = 8  # template words closer than this are looked at before those up to a template's length apart
 
 # Short license notices and headers as their licenses print them.
 TEMPLATES = {
@@ -128,6 +128,22 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def stretches(hits: list[int], gap: int):
+    """Runs (from, to) of ascending places of which neighbours stand at most ``gap`` apart."""
+    start = 0
+    for k in range(1, len(hits) + 1):
+        if k == len(hits) or hits[k] - hits[k - 1] > gap:
+            yield start, k
+            start = k
+
+
+def joined(pairs: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
+    """The largest run of aligned pairs with at most ``gap`` foreign words in a row."""
+    runs = list(stretches([j for _, j in pairs], max(SLACK, gap + 1)))
+    lo, hi = max(runs, key=lambda r: r[1] - r[0], default=(0, 0))
+    return pairs[lo:hi]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE):
         self.coverage = coverage
@@ -157,12 +173,17 @@ class Scanner:
             if rare.isdisjoint(have):
                 continue
             hits = [i for i, w in enumerate(ws) if w in own]
-            start = 0
-            for k in range(1, len(hits) + 1):
-                if k < len(hits) and hits[k] - hits[k - 1] <= SLACK:
-                    continue
-                self._stretch(name, tw, counts, ws, places, hits[start], hits[k - 1] + 1, found)
-                start = k
+            for lo, hi in stretches(hits, max(SLACK, len(tw) + 1)):
+                # what stands close together first, so that a notice does not reach for words far from it
+                close = list(stretches(hits[lo:hi], SLACK))
+                took: list = []
+                for a, b in close:
+                    took += self._stretch(name, tw, counts, ws, places, hits[lo + a], hits[lo + b - 1] + 1, found)
+                if len(close) > 1:
+                    at = hits[lo]
+                    for a, b in [*sorted(took), (hits[hi - 1] + 1, 0)]:
+                        self._stretch(name, tw, counts, ws, places, at, a, found)
+                        at = b
         found.sort(key=lambda f: (-f[3] * f[4], -f[3], -f[4], f[0], f[1]))
         kept: list = []
         for f in found:
@@ -170,16 +191,16 @@ class Scanner:
                 kept.append(f)
         return [f[:4] for f in sorted(kept, key=lambda f: (f[1], f[0]))]
 
-    def _stretch(self, name, tw, counts, ws, places, lo, hi, found) -> None:
-        """Align one stretch; what it covers is taken and the rest of the stretch looked at again."""
-        todo = [(lo, hi)]
+    def _stretch(self, name, tw, counts, ws, places, lo, hi, found) -> list[tuple[int, int]]:
+        """Align one stretch; what it covers is taken and the rest of the stretch looked at again. Gives what it took."""
+        todo, took = [(lo, hi)], []
         while todo:
             lo, hi = todo.pop()
             part = ws[lo:hi]
             have = Counter(w for w in part if w in counts)
             if sum(min(n, have[w]) for w, n in counts.items()) < self.coverage * len(tw):
                 continue
-            first, pairs = 0, align(tw, part)
+            first, pairs = 0, joined(align(tw, part), len(tw))
             if len(pairs) < self.coverage * len(tw):
                 # repeated words hide the anchors: look at each place where the template can begin
                 first, pairs = self._place(tw, counts, part)
@@ -187,7 +208,9 @@ class Scanner:
                     continue
             a, b = pairs[0][1], pairs[-1][1] + 1
             found.append((name, places[lo + a][0], places[lo + b - 1][1], round(len(pairs) / len(tw), 4), len(tw)))
+            took.append((lo + a, lo + b))
             todo += [(lo + first, lo + a), (lo + b, hi)]
+        return took
 
     def _place(self, tw, counts, part) -> tuple[int, list[tuple[int, int]]]:
         """The best alignment near the first start that covers enough, and that start; windows whose words cannot
@@ -203,7 +226,7 @@ class Scanner:
                     have[x] += 1
                     bound += have[x] <= counts.get(x, 0)
                 if w in counts and bound >= need and score < len(tw):
-                    pairs = align(tw, part[i : i + width])
+                    pairs = joined(align(tw, part[i : i + width]), len(tw))
                     if len(pairs) >= need:
                         first = i if first is None else first
                         # foreign words inside count against it, so it takes no words of the next copy
