@@ -3,11 +3,12 @@
 import math
 import random
 
+import pytest
 from tests.conftest import SF
 
 from weft import views
 from weft.functions import color
-from weft.llm import licenses
+from weft.llm import licenses, toxicity
 from weft.operators import kernels
 from weft.plans import algorithms
 from weft.registry import QUERIES
@@ -81,3 +82,12 @@ def test_licenses_long_insertion():
                 assert len(got) == text.count(notice), (name, n, got)
                 assert all(f[3] >= 0.95 for f in got)
         assert name not in [f[0] for f in s.scan(" ".join(tw[:half] + ["zzz"] * (len(tw) + 9) + tw[half:]))]
+
+
+def test_toxicity_never_cuts_features_silently(spark):
+    rows = [(i, ("alpha bravo charlie" if i % 2 else "delta foxtrot golf"), i % 2) for i in range(200)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    n = len(toxicity.train(labelled))
+    assert n > 2 and len(toxicity.train(labelled, n)) == n
+    with pytest.raises(ValueError):
+        toxicity.train(labelled, n - 1)

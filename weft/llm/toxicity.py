@@ -17,8 +17,8 @@ S. The document statistic is the sum over segments of max(0, S - log(K n)) - evi
 chance gives the text's length - and is mapped to a probability by a logistic curve.
 
 The curve is fitted on at most ``CALIBRATION_ROWS`` labelled training rows (by hash order, documented
-bound); the counts use all rows. The vocabulary is kept to the ``VOCABULARY`` features that are furthest
-from zero (model size, bounded for broadcast).
+bound); the counts use all rows. More than ``VOCABULARY`` significant features
+raise an error (model size, bounded for broadcast); none is cut.
 
 Edge cases: null and empty texts have no segments and get the curve's base rate; unlabelled rows are
 scored; a label table with one class only, or empty, gives every document the smoothed base rate; several labels
@@ -106,7 +106,9 @@ def train(labelled: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, float]
     delta = share("bad", in_bad) - share("good", in_good)
     err = F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior))
     scored = counts.select("feature", F.when(delta > 0, F.greatest(F.lit(0.0), delta - Z * err)).otherwise(F.least(F.lit(0.0), delta + Z * err)).alias("s")).where("abs(s) > 0.1")
-    top = scored.orderBy(F.abs("s").desc(), "feature").limit(vocabulary).collect()
+    top = scored.orderBy(F.abs("s").desc(), "feature").limit(vocabulary + 1).collect()
+    if len(top) > vocabulary:
+        raise ValueError(f"more than {vocabulary} significant features in the labelled rows")
     return {r["feature"]: r["s"] for r in top}
 
 
