@@ -3,12 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from tests.conftest import SF
 
 from weft import views
 from weft.functions import color
-from weft.llm import licenses, toxicity
+from weft.llm import langid, licenses, toxicity
 from weft.operators import kernels
 from weft.plans import algorithms
 from weft.registry import QUERIES
@@ -91,3 +92,13 @@ def test_toxicity_never_cuts_features_silently(spark):
     assert n > 2 and len(toxicity.train(labelled, n)) == n
     with pytest.raises(ValueError):
         toxicity.train(labelled, n - 1)
+
+
+def test_langid_keeps_a_small_share_of_a_long_document():
+    theta = np.full((3, 30), 1e-4)
+    for k in range(3):
+        theta[k, 10 * k : 10 * k + 10] = 1.0
+    theta /= theta.sum(1, keepdims=True)
+    counts = np.r_[np.full(10, 20000.0), np.full(10, 60.0)]  # 0.3 % of the second language
+    who, share = langid.infer((np.arange(20), counts), theta)
+    assert who == [0, 1] and 0.002 < share[1] < 0.004

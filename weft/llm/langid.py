@@ -3,8 +3,8 @@
 A document is a mixture of languages: each of its character trigrams is drawn from language l with the
 document's proportion pi_l and then from l's trigram distribution. Expectation-maximisation estimates
 pi from the n-gram likelihoods; the language set is chosen by penalised likelihood: languages enter in
-the order of their full-model proportions and stay while twice the gain in log likelihood exceeds
-``penalty`` x log(number of trigrams). The prediction is the largest proportion within the chosen set
+the order of their full-model proportions, every one is tried, and those stay whose doubled gain in log
+likelihood exceeds ``penalty`` x log(number of trigrams). The prediction is the largest proportion within the chosen set
 and the score that proportion.
 
 Training counts hashed trigrams of every labelled training document (no sample); each task emits one
@@ -30,7 +30,6 @@ from weft.llm.common import arrow_map, fold, table
 BUCKETS = 1 << 14
 MAX_LANGUAGES = 512
 PENALTY = 1.0
-ITERATIONS = 25
 UNDETERMINED = "und"
 
 _LETTER = None
@@ -96,10 +95,10 @@ def train(docs: DataFrame, buckets: int = BUCKETS, max_languages: int = MAX_LANG
     return [r["lang"] for r in rows], theta
 
 
-def _em(p: np.ndarray, counts: np.ndarray, pi: np.ndarray, iterations: int):
+def _em(p: np.ndarray, counts: np.ndarray, pi: np.ndarray):
     """EM for mixture proportions; p is features x languages."""
     total = counts.sum()
-    for _ in range(iterations):
+    while True:
         new = pi * (p.T @ (counts / (p @ pi))) / total
         moved = np.abs(new - pi).max()
         pi = new
@@ -108,12 +107,12 @@ def _em(p: np.ndarray, counts: np.ndarray, pi: np.ndarray, iterations: int):
     return pi, float(counts @ np.log(p @ pi))
 
 
-def infer(f, theta: np.ndarray, penalty: float = PENALTY, iterations: int = ITERATIONS):
+def infer(f, theta: np.ndarray, penalty: float = PENALTY):
     """The chosen languages' indices and proportions, largest first."""
     ids, counts = f
     p = theta[:, ids].T
     n = theta.shape[0]
-    pi, _ = _em(p, counts, np.full(n, 1.0 / n), iterations)
+    pi, _ = _em(p, counts, np.full(n, 1.0 / n))
     order = np.argsort(-pi, kind="stable")
     charge = 0.5 * penalty * np.log(counts.sum() + 1.0)
     # the best single language starts the set: most documents end here
@@ -123,12 +122,14 @@ def infer(f, theta: np.ndarray, penalty: float = PENALTY, iterations: int = ITER
         k = int(k)
         if k in chosen:
             continue
-        if pi[k] < 0.01:
-            break
         trial = [*chosen, k]
-        got, ll = _em(p[:, trial], counts, np.full(len(trial), 1.0 / len(trial)), iterations)
+        # the likelihood is concave in the proportions, so its slope bounds the gain: the test drops nothing
+        slope = (counts / (p[:, chosen] @ share)) @ p[:, trial]
+        if slope.max() - counts.sum() <= charge:
+            continue
+        got, ll = _em(p[:, trial], counts, np.full(len(trial), 1.0 / len(trial)))
         if ll - charge * len(trial) <= best:
-            break
+            continue
         chosen, share, best = trial, got, ll - charge * len(trial)
     rank = sorted(range(len(chosen)), key=lambda i: (-share[i], chosen[i]))
     return [chosen[i] for i in rank], [float(share[i]) for i in rank]
