@@ -3,20 +3,17 @@
 import math
 import random
 
-import numpy as np
-import pytest
 from tests.conftest import SF
 
 from weft import views
 from weft.functions import color
-from weft.llm import langid, licenses, toxicity
-from weft.operators import kernels
+from weft.operators import kernels, layout, spatial
 from weft.plans import algorithms
 from weft.registry import QUERIES
 
 
-def test_typed_accessors_all_keeps_every_row(spark):
-    got = QUERIES["typed_accessors_all"](spark, SF).collect()
+def test_typed_accessors_keeps_every_row(spark):
+    got = QUERIES["typed_accessors"](spark, SF).collect()
     assert len(got) == views.table(spark, SF, "lineitem").count()
     assert {r["l_orderkey"] % 50 for r in got} == set(range(50))
 
@@ -27,7 +24,7 @@ def test_edgepaint_colors_every_edge(spark):
     assert set(got) == edges and any(t % 2 for t, _ in edges)
     order = sorted(edges)
     place = {e: k for k, e in enumerate(order)}
-    clash = [(place[r["tail1"], r["head1"]], place[r["tail2"], r["head2"]]) for r in QUERIES["edgepaint_crossings_all"](spark, SF).collect()]
+    clash = [(place[r["tail1"], r["head1"]], place[r["tail2"], r["head2"]]) for r in QUERIES["edgepaint_crossings"](spark, SF).collect()]
     colors = kernels.greedy_colors(len(order), sorted(clash), len(color.EDGE_PALETTE))
     assert got == {e: color.EDGE_PALETTE[c] for e, c in zip(order, colors)}
 
@@ -57,48 +54,30 @@ def test_compatible_pairs_equal_brute_force(spark):
     assert all(abs(g[4] - want[g[:4]]) < 1e-4 for g in got)
 
 
-def test_licenses_two_copies_at_every_offset():
-    s, r = licenses.Scanner(), random.Random(4)
-    for name in ("apache-2.0-header", "bsd-redistribution", "mit-full"):
-        tw = licenses.words_of(licenses.TEMPLATES[name])[0]
-        for offset in range(60):
-            # each word of the template more than once, so no word is an anchor
-            drop = set(r.sample(range(1, len(tw) - 1), len(tw) // 10)) if offset % 2 else ()
-            copy = " ".join(w for i, w in enumerate(tw) if i not in drop)
-            text = " ".join(["the"] + ["of", "any"] * (offset // 2) + ["the"] * (offset % 2)) + f" {copy} the of the {copy} the"
-            got = [f for f in s.scan(text) if f[0] == name]
-            assert len(got) == 2, (name, offset, got)
-            assert all(f[3] > 0.9 - 0.04 * bool(drop) for f in got)
-
-
-def test_licenses_long_insertion():
-    s = licenses.Scanner()
-    for name in ("apache-2.0-header", "bsd-redistribution", "isc", "mit-full"):
-        tw = licenses.words_of(licenses.TEMPLATES[name])[0]
-        half = len(tw) // 2
-        for n in (0, 7, 8, 20, len(tw)):
-            notice = " ".join(tw[:half] + ["zzz"] * n + tw[half:])
-            for text in (notice, f"some words of the {notice} and the rest", f"{notice} {'qqq ' * 300} {notice}"):
-                got = [f for f in s.scan(text) if f[0] == name]
-                assert len(got) == text.count(notice), (name, n, got)
-                assert all(f[3] >= 0.95 for f in got)
-        assert name not in [f[0] for f in s.scan(" ".join(tw[:half] + ["zzz"] * (len(tw) + 9) + tw[half:]))]
-
-
-def test_toxicity_never_cuts_features_silently(spark):
-    rows = [(i, ("alpha bravo charlie" if i % 2 else "delta foxtrot golf"), i % 2) for i in range(200)]
-    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    n = len(toxicity.train(labelled))
-    assert n > 2 and len(toxicity.train(labelled, n)) == n
-    with pytest.raises(ValueError):
-        toxicity.train(labelled, n - 1)
-
-
-def test_langid_keeps_a_small_share_of_a_long_document():
-    theta = np.full((3, 30), 1e-4)
-    for k in range(3):
-        theta[k, 10 * k : 10 * k + 10] = 1.0
-    theta /= theta.sum(1, keepdims=True)
-    counts = np.r_[np.full(10, 20000.0), np.full(10, 60.0)]  # 0.3 % of the second language
-    who, share = langid.infer((np.arange(20), counts), theta)
-    assert who == [0, 1] and 0.002 < share[1] < 0.004
+def test_overlap_pairs_of_boxes_of_any_size(spark):
+    r = random.Random(5)
+    boxes = [(i % 2, i, r.uniform(-400, 400), r.uniform(-400, 400), 2 ** r.uniform(-3, 10), 2 ** r.uniform(-3, 9)) for i in range(150)]
+    boxes += [(0, 900, 0.0, 0.0, 600.0, 20.0), (0, 901, 250.0, 0.0, 20.0, 20.0), (1, 902, 0.0, 0.0, 0.0, 0.0), (1, 903, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(boxes, "grp int, name int, x double, y double, width double, height double")
+    touch = lambda a, b: abs(a[2] - b[2]) < (a[4] + b[4]) / 2 + 2 and abs(a[3] - b[3]) < (a[5] + b[5]) / 2 + 2
+    want = {(a[0], a[1], b[1]) for a in boxes for b in boxes if a[0] == b[0] and a[1] < b[1] and touch(a, b)}
+    got = [tuple(x) for x in spatial.overlap_pairs(df, ["grp"], 2.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    two = df.where("name IN (900, 901)")
+    assert layout.scale_factor(two, 0.0).first()["factor"] == 310 / 250
+
+
+def test_coarse_force_layout_keeps_springs_near_their_length():
+    import numpy as np
+
+    pairs = [(i, i + 1) for i in range(39)]
+    at = layout.coarse_force_layout(list(range(40)), pairs)
+    length = np.linalg.norm(at[1:] - at[:-1], axis=1)
+    assert 15 < length.mean() < 45 and length.min() > 2
+    assert layout.heaviest_matching([1, 2, 3, 4], {(1, 2): 1, (2, 3): 5, (3, 4): 1}) == {1: 1, 2: 3, 3: 2, 4: 4}
+
+
+def test_treemap_of_areas_with_zeros():
+    boxes = layout.treemap([4.0, 0.0, 0.0], 0, 0, 2, 2)
+    assert boxes[0] == (0, 0, 2, 2) and boxes[1][2:] == (0.0, 0.0)
+    assert layout.treemap([0.0, 0.0], 0, 0, 2, 2) == [(2, 2, 0.0, 0.0)] * 2

@@ -98,3 +98,22 @@ def set_missing(attrs: Column, extra: dict[str, str]) -> Column:
 def shown(attrs: Column) -> Column:
     """Attributes a writer emits: not empty, not private (leading underscore)."""
     return F.map_filter(attrs, lambda k, v: (v != "") & ~k.startswith("_"))
+
+
+#: Types of the attributes that nodes and edges are read by; all others are text.
+ATTR_TYPES = {
+    "width": "double", "height": "double", "fontsize": "double", "penwidth": "double", "minlen": "double", "arrowsize": "double", "len": "double",
+    "weight": "int", "peripheries": "int", "sides": "int", "rank": "int",
+    "fixedsize": "boolean", "pin": "boolean", "constraint": "boolean", "regular": "boolean",
+}
+
+
+def typed(attrs: Column, names: list[str], defaults: dict[str, str] | None = None) -> list[Column]:
+    """One column per attribute, cast to its type; a missing one takes its default, text that does not fit is null."""
+    out = []
+    for name in names:
+        value = attrs[name]
+        if defaults and name in defaults:
+            value = F.coalesce(value, F.lit(defaults[name]))
+        out.append(value.try_cast(ATTR_TYPES[name]).alias(name) if name in ATTR_TYPES else value.alias(name))
+    return out

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.operators import kernels
+from weft.operators import kernels, spatial
 
 ALL = Window.unboundedPreceding
 
@@ -94,19 +94,16 @@ def weighted_median(neighbours: DataFrame, by: str) -> DataFrame:
     return many.groupBy(by).agg(F.percentile("p", 0.5).alias("median"))
 
 
-def scale_factor(boxes: DataFrame, sep: float, cell: float) -> DataFrame:
+def scale_factor(boxes: DataFrame, sep: float) -> DataFrame:
     """Scale that removes all overlaps: per overlapping pair the smaller of the x and y factors, and the
-    largest of these. Pairs come from a grid whose cells are no smaller than any box."""
-    g = boxes.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = g.withColumn("d", near).withColumn("cx", F.col("cx") + F.col("d.i")).withColumn("cy", F.col("cy") + F.col("d.j")).drop("d")
-    a, b, c = g.alias("a"), b.alias("b"), F.col
-    on = (c("a.cx") == c("b.cx")) & (c("a.cy") == c("b.cy")) & (c("a.name") < c("b.name"))
-    dx, dy = F.abs(c("a.x") - c("b.x")), F.abs(c("a.y") - c("b.y"))
-    w, h = (c("a.width") + c("b.width")) / 2 + sep, (c("a.height") + c("b.height")) / 2 + sep
+    largest of these."""
+    c = F.col
+    dx, dy = F.abs(c("x_a") - c("x_b")), F.abs(c("y_a") - c("y_b"))
+    w, h = (c("width_a") + c("width_b")) / 2 + sep, (c("height_a") + c("height_b")) / 2 + sep
     big = F.lit(float("inf"))
     sx, sy = F.greatest(F.when(dx == 0, big).otherwise(w / dx), F.lit(1.0)), F.greatest(F.when(dy == 0, big).otherwise(h / dy), F.lit(1.0))
-    return a.join(b, on).where((dx < w) & (dy < h)).agg(F.coalesce(F.max(F.least(sx, sy)), F.lit(1.0)).alias("factor"), F.count("*").alias("overlaps"))
+    near = spatial.close_pairs(boxes.select("name", "x", "y", "width", "height"), [], sep)
+    return near.where((dx < w) & (dy < h)).agg(F.coalesce(F.max(F.least(sx, sy)), F.lit(1.0)).alias("factor"), F.count("*").alias("overlaps"))
 
 
 # ---- per-component kernels -------------------------------------------------------------------------
@@ -154,13 +151,14 @@ def stress_layout(names, pairs, seed: int = 1, rounds: int = 200, unit: float =
     return x
 
 
-def force_layout(names, pairs, seed: int = 1, rounds: int = 600, k: float = 21.6) -> np.ndarray:
-    """Spring-electrical layout: repulsion k^2/d^2, springs of length k, linear cooling."""
+def force_layout(names, pairs, seed: int = 1, rounds: int = 600, k: float = 21.6, start: np.ndarray | None = None) -> np.ndarray:
+    """Spring-electrical layout: repulsion k^2/d^2, springs of length k, linear cooling, from ``start`` or a seeded
+    random placement."""
     n = len(names)
-    x = np.random.default_rng(seed).standard_normal((n, 2)) * k * math.sqrt(n)
+    x = np.random.default_rng(seed).standard_normal((n, 2)) * k * math.sqrt(n) if start is None else start.copy()
     place = {v: i for i, v in enumerate(names)}
     e = np.array([(place[a], place[b]) for a, b in pairs if a != b], int).reshape(-1, 2)
-    hot = k * math.sqrt(n) / 5
+    hot = k * math.sqrt(n) / 5 if start is None else k
     for i in range(rounds):
         gap = x[:, None] - x[None]
         d2 = np.maximum((gap**2).sum(2), 0.01)
@@ -177,23 +175,42 @@ def force_layout(names, pairs, seed: int = 1, rounds: int = 600, k: float = 21.6
     return x
 
 
-def coarse_force_layout(names, pairs, seed: int = 1) -> np.ndarray:
-    """Multilevel: match neighbours, lay the coarse graph out, put pairs side by side and refine."""
+def heaviest_matching(names, weights: dict) -> dict:
+    """node -> its partner (itself: none): edges of ``weights`` {(a, b): weight} from the heaviest on, ties in order,
+    taken where both ends are free."""
+    mate = {v: v for v in names}
+    for a, b in sorted(weights, key=lambda e: (-weights[e], e)):
+        if a != b and mate[a] == a and mate[b] == b:
+            mate[a], mate[b] = b, a
+    return mate
+
+
+def coarse_force_layout(names, pairs, seed: int = 1, k: float = 21.6, weights: dict | None = None) -> np.ndarray:
+    """Multilevel: match along the heaviest edges, lay the coarse graph out with springs as much longer as there are
+    fewer nodes, put both of a pair there and refine from that placement."""
+    if weights is None:
+        weights = {}
+        for a, b in pairs:
+            if a != b:
+                e = (a, b) if a < b else (b, a)
+                weights[e] = weights.get(e, 0) + 1
+    edges = sorted(weights)
     if len(names) <= 4:
-        return force_layout(names, pairs, seed)
-    near, mate = kernels.neighbours(pairs), {}
-    for v in names:
-        if v not in mate:
-            w = next((u for u in near.get(v, []) if u not in mate), v)
-            mate[v] = mate[w] = v
-    tops = sorted(set(mate.values()))
-    if len(tops) > 0.75 * len(names):
-        return force_layout(names, pairs, seed)
-    above = coarse_force_layout(tops, sorted({(mate[a], mate[b]) for a, b in pairs if mate[a] != mate[b]}), seed)
-    at = dict(zip(tops, above))
-    jitter = np.random.default_rng(seed).standard_normal((len(names), 2))
-    start = np.array([at[mate[v]] for v in names]) + jitter
-    return start + (force_layout(names, pairs, seed, rounds=200) - start) * 0.5
+        return force_layout(names, edges, seed, k=k)
+    mate = heaviest_matching(names, weights)
+    top = {v: min(v, mate[v]) for v in names}
+    tops = sorted(set(top.values()))
+    if len(tops) > 0.9 * len(names):
+        return force_layout(names, edges, seed, k=k)
+    up: dict = {}
+    for (a, b), w in weights.items():
+        a, b = sorted((top[a], top[b]))
+        if a != b:
+            up[a, b] = up.get((a, b), 0) + w
+    far = k * math.sqrt(len(names) / len(tops))
+    at = dict(zip(tops, coarse_force_layout(tops, sorted(up), seed, far, up)))
+    jitter = np.random.default_rng(seed).standard_normal((len(names), 2)) * k / 4
+    return force_layout(names, edges, seed, rounds=200, k=k, start=np.array([at[top[v]] for v in names]) + jitter)
 
 
 def circular_layout(names, pairs, gap: float = 72.0) -> np.ndarray:
@@ -276,11 +293,12 @@ def layered_layout(names, pairs, nodesep: float = 90.0, ranksep: float = 72.0, s
 
 
 def treemap(areas: list[float], x: float, y: float, w: float, h: float) -> list[tuple[float, float, float, float]]:
-    """Squarified treemap of areas (largest first) in a box: (x, y, width, height) each, in input order."""
-    order = sorted(range(len(areas)), key=lambda i: (-areas[i], i))
+    """Squarified treemap of areas (largest first) in a box: (x, y, width, height) each, in input order. What has no
+    area is a point at the box's far corner."""
+    order = sorted((i for i in range(len(areas)) if areas[i] > 0), key=lambda i: (-areas[i], i))
     total = sum(areas)
     f = w * h / total if total else 0.0
-    out: list = [None] * len(areas)
+    out: list = [(x + w, y + h, 0.0, 0.0)] * len(areas)
 
     def worst(row, side):
         s = sum(row)

@@ -20,11 +20,31 @@ def near_pairs(points: DataFrame, by: list[str], cell: float) -> DataFrame:
     return left.join(right, [*by, "cx", "cy"]).where("name_a < name_b").drop("cx", "cy")
 
 
-def overlap_pairs(boxes: DataFrame, by: list[str], sep: float, cell: float) -> DataFrame:
-    """(by..., name_a, name_b) of boxes closer than ``sep`` on both axes; no box may be wider or higher than ``cell - sep``."""
-    near = near_pairs(boxes, by, cell)
+def close_pairs(boxes: DataFrame, by: list[str], sep: float) -> DataFrame:
+    """Pairs ``name_a < name_b`` of boxes of the same ``by`` that may lie closer than ``sep``, every other column twice.
+
+    A box stands in the grid of its size class (cells of the least power of two that its larger side plus ``sep``
+    does not exceed). In each pair the box of the larger class stands in the cell of its middle, the other one
+    in the nine cells around its own of that class's grid, so no box is too large and cells stay as small as they can."""
+    rest = [c for c in boxes.columns if c not in by]
+    level = F.ceil(F.log2(F.greatest(F.col("width"), F.col("height"), F.lit(1e-9)) + sep)).cast("int")
+    sized = boxes.withColumn("level", level)
+    levels = sized.groupBy(*by).agg(F.collect_set("level").alias("levels"))  # as many entries as there are powers of two
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level")))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    big = sized.select(*by, "level", cell("x").alias("cx"), cell("y").alias("cy"), *[F.col(c).alias(f"{c}_a") for c in rest])
+    small = sized.withColumnRenamed("level", "own").join(levels, by) if by else sized.withColumnRenamed("level", "own").crossJoin(F.broadcast(levels))  # one row
+    small = small.withColumn("level", F.explode(F.filter("levels", lambda x: x >= F.col("own")))).withColumn("at", F.explode(around))
+    small = small.select(*by, "level", (cell("x") + F.col("at.i")).alias("cx"), (cell("y") + F.col("at.j")).alias("cy"), "own", *[F.col(c).alias(f"{c}_b") for c in rest])
+    met = big.join(small, [*by, "level", "cx", "cy"]).where("own < level OR name_a < name_b")
+    turn = F.col("name_a") > F.col("name_b")
+    return met.select(*by, *[x for c in rest for x in (F.when(turn, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_a"), F.when(turn, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_b"))])
+
+
+def overlap_pairs(boxes: DataFrame, by: list[str], sep: float) -> DataFrame:
+    """(by..., name_a, name_b) of boxes closer than ``sep`` on both axes, whatever their sizes."""
     apart = lambda c, size: F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) < (F.col(f"{size}_a") + F.col(f"{size}_b")) / 2 + sep
-    return near.where(apart("x", "width") & apart("y", "height")).select(*by, "name_a", "name_b")
+    return close_pairs(boxes, by, sep).where(apart("x", "width") & apart("y", "height")).select(*by, "name_a", "name_b")
 
 
 def repulsion(points: DataFrame, by: list[str], cell: float, k: float) -> DataFrame:

@@ -5,23 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.iterate import stage
-from weft.operators.basic import half_edges
+from weft.iterate import components, release, stage
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, component): the smallest name reachable ignoring direction. Labels take the neighbours'
-    minimum and then jump to their label's label, so long paths need few rounds."""
-    near = stage(half_edges(edges).where("name <> other").select("name", "other").distinct(), "near")
-    cur = stage(nodes.select("name", F.col("name").alias("component")), "label")
-    while True:
-        heard = near.join(cur.select(F.col("name").alias("other"), F.col("component").alias("c")), "other").groupBy("name").agg(F.min("c").alias("c"))
-        low = cur.join(heard, "name", "left").select("name", F.col("component").alias("was"), F.least("component", F.coalesce("c", "component")).alias("component"))
-        low = stage(low, "label")
-        if low.where("was <> component").isEmpty():
-            return cur
-        jump = low.select(F.col("name").alias("component"), F.col("component").alias("next"))
-        cur = stage(low.join(jump, "component").select("name", F.col("next").alias("component")), "label")
+    """(name, component): the smallest name reachable ignoring direction; isolated nodes are their own."""
+    found = components(edges.select(F.col("tail").alias("a"), F.col("head").alias("b"))).withColumnRenamed("id", "name")
+    return nodes.select("name").join(found, "name", "left").select("name", F.coalesce("component", "name").alias("component"))
 
 
 def distances(edges: DataFrame, weight: str | None = None) -> DataFrame:
@@ -41,23 +31,82 @@ def distances(edges: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def bfs(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(name, dist): hops from the nearest of sources(name), by frontier joins."""
-    seen = frontier = stage(sources.select("name", F.lit(0).cast("long").alias("dist")).distinct(), "bfs")
-    out = edges.where("tail <> head").select(F.col("tail").alias("name"), "head").distinct()
+    """(name, dist): hops from the nearest of sources(name). One staged table of what is seen; a round joins only
+    its outermost ring with the edges."""
+    seen = stage(sources.select("name", F.lit(0).cast("long").alias("dist")).distinct(), "bfs")
+    out = stage(edges.where("tail <> head").select(F.col("tail").alias("name"), "head").distinct(), "bfs-edges")
+    hops = 0
     while True:
-        step = frontier.join(out, "name").groupBy(F.col("head").alias("name")).agg((F.min("dist") + 1).alias("dist"))
-        frontier = stage(step.join(seen.select("name"), "name", "left_anti"), "bfs")
-        if frontier.isEmpty():
+        ring = seen.where(F.col("dist") == hops).select("name")
+        if ring.isEmpty():
+            release(out)
             return seen
-        seen = seen.unionByName(frontier)
+        step = ring.join(out, "name").select(F.col("head").alias("name"), F.lit(hops + 1).cast("long").alias("dist"))
+        old, seen = seen, stage(seen.unionByName(step).groupBy("name").agg(F.min("dist").alias("dist")), "bfs")
+        release(old)
+        hops += 1
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, scc): the smallest name that reaches the node and is reached by it."""
-    reach = distances(edges).select("src", "dst")
-    back = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi")
-    low = back.groupBy(F.col("src").alias("name")).agg(F.min("dst").alias("m"))
-    return nodes.select("name").join(low, "name", "left").select("name", F.least("name", F.coalesce("m", "name")).alias("scc"))
+    """(name, scc): the smallest name that reaches the node and is reached by it.
+
+    Forward-backward colouring: every node takes the smallest name that reaches it (its colour); within a colour, the
+    nodes that reach the colour's own node are one strong component and leave; edges between colours never lie
+    inside a component and are dropped. Tables are linear in nodes and edges; no closure is built."""
+    live = stage(edges.where("tail <> head").select("tail", "head").distinct(), "scc")
+    done = None
+    while True:
+        # what has no edge in or no edge out is alone: only cores go on
+        while True:
+            core = live.join(live.select(F.col("head").alias("tail")).distinct(), "tail", "left_semi").join(live.select(F.col("tail").alias("head")).distinct(), "head", "left_semi")
+            core = stage(core.select("tail", "head"), "scc")
+            same = core.count() == live.count()
+            release(live)
+            live = core
+            if same:
+                break
+        if live.isEmpty():
+            break
+        names = live.select(F.col("tail").alias("name")).distinct()
+        colour = _spread(names.select("name", F.col("name").alias("c")), live.select("tail", "head"))
+        at = lambda end, to: colour.select(F.col("name").alias(end), F.col("c").alias(to))
+        inside = stage(live.join(at("tail", "c"), "tail").join(at("head", "ch"), "head").where("c = ch").select("tail", "head", "c"), "scc")
+        # backwards from each colour's own node, inside the colour
+        back = _reach(colour.where("name = c"), inside.select(F.col("head").alias("tail"), F.col("tail").alias("head")))
+        found = stage(back.select("name", F.col("c").alias("scc")), "scc-done")
+        release(back)
+        rest = inside.join(found.select(F.col("name").alias("tail")), "tail", "left_anti").join(found.select(F.col("name").alias("head")), "head", "left_anti")
+        old, live = live, stage(rest.select("tail", "head"), "scc")
+        release(old, inside, colour)
+        done = found if done is None else done.unionByName(found)
+    if done is None:
+        return nodes.select("name", F.col("name").alias("scc"))
+    return nodes.select("name").join(done, "name", "left").select("name", F.coalesce("scc", "name").alias("scc"))
+
+
+def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, c): the smallest c of start(name, c) that reaches the name; only labels just lowered travel."""
+    cur = stage(start.withColumn("fresh", F.lit(True)), "spread")
+    while True:
+        heard = cur.where("fresh").join(edges, F.col("name") == F.col("tail")).groupBy(F.col("head").alias("name")).agg(F.min("c").alias("h"))
+        nxt = cur.join(heard, "name", "left").select("name", F.least("c", F.coalesce("h", "c")).alias("c"), (F.coalesce("h", "c") < F.col("c")).alias("fresh"))
+        old, cur = cur, stage(nxt, "spread")
+        release(old)
+        if cur.where("fresh").isEmpty():
+            return cur
+
+
+def _reach(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, c): every name that edges reach from start(name, c), by rounds over the newest names."""
+    seen = stage(start.select("name", "c", F.lit(0).alias("k")), "reach")
+    k = 0
+    while True:
+        step = seen.where(F.col("k") == k).join(edges, F.col("name") == F.col("tail")).select(F.col("head").alias("name"), "c", F.lit(k + 1).alias("k"))
+        if step.isEmpty():
+            return seen
+        old, seen = seen, stage(seen.unionByName(step).groupBy("name", "c").agg(F.min("k").alias("k")), "reach")
+        release(old)
+        k += 1
 
 
 def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,18 +115,36 @@ def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = edges.select("tail", "head").distinct()
     while True:
         up = e.join(cur.select(F.col("name").alias("tail"), "level"), "tail").groupBy(F.col("head").alias("name")).agg((F.max("level") + 1).alias("l"))
-        nxt = stage(cur.join(up, "name", "left").select("name", F.col("level").alias("was"), F.greatest("level", F.coalesce("l", "level")).alias("level")), "level")
-        if nxt.where("was <> level").isEmpty():
-            return cur
-        cur = nxt.select("name", "level")
+        nxt = stage(cur.join(up, "name", "left").select("name", F.greatest("level", F.coalesce("l", "level")).alias("level"), (F.col("l") > F.col("level")).alias("moved")), "level")
+        release(cur)
+        cur = nxt
+        if cur.where("moved").isEmpty():
+            return cur.select("name", "level")
 
 
 def transitive_reduction(edges: DataFrame) -> DataFrame:
-    """Edges of a DAG that no longer path implies."""
-    e = edges.where("tail <> head").select("tail", "head").distinct()
-    reach = distances(e).select("src", "dst")
-    implied = e.join(reach.select(F.col("src").alias("head"), F.col("dst").alias("far")), "head").select("tail", F.col("far").alias("head"))
-    return e.join(implied, ["tail", "head"], "left_anti")
+    """Edges of a DAG that no longer path implies. An edge is under test while some path from its tail may still
+    reach its head: paths advance one edge a round, carry their tail, and stop beyond the topological level of the
+    furthest head under test, so what is held is the paths' (tail, end) pairs inside those levels, never the closure."""
+    e = stage(edges.where("tail <> head").select("tail", "head").distinct(), "tred")
+    names = e.select(F.col("tail").alias("name")).unionByName(e.select(F.col("head").alias("name"))).distinct()
+    level = stage(topo_levels(names, e), "tred-levels")
+    at = lambda end, to: level.select(F.col("name").alias(end), F.col("level").alias(to))
+    e = stage(e.join(at("tail", "lt"), "tail").join(at("head", "lh"), "head"), "tred")
+    # an edge to the next level has no way round; a tail with one out-edge has none, either
+    wide = e.groupBy("tail").agg(F.max("lh").alias("far"), F.count("*").alias("outs")).where("outs > 1").select("tail", "far")
+    open_ = e.join(wide, "tail").where("lh > lt + 1").groupBy("tail").agg(F.max("lh").alias("far"))
+    front = stage(e.join(open_, "tail").where("lh < far").select("tail", "far", F.col("head").alias("end")), "tred-front")
+    implied = None
+    while not front.isEmpty():
+        step = front.join(e.select(F.col("tail").alias("end"), F.col("head").alias("next"), "lh"), "end").where("lh <= far")
+        nxt = stage(step.select("tail", "far", F.col("next").alias("end")).distinct(), "tred-front")
+        hit = stage(nxt.select("tail", F.col("end").alias("head")).join(e.select("tail", "head"), ["tail", "head"], "left_semi"), "tred-hit")
+        implied = hit if implied is None else implied.unionByName(hit)
+        release(front)
+        front = nxt
+    kept = e.select("tail", "head")
+    return kept if implied is None else kept.join(implied, ["tail", "head"], "left_anti")
 
 
 def component_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

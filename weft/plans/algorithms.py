@@ -95,16 +95,10 @@ def betweenness(spark, sf):
 
 
 # synthetic positions: part keys on a 100-wide sheet
-_POS = "pos AS (SELECT tail, head, (tail * 37 % 1009)::DOUBLE AS ax, (tail * 53 % 997)::DOUBLE AS ay, (head * 37 % 1009)::DOUBLE AS bx, (head * 53 % 997)::DOUBLE AS by_ FROM g4 WHERE tail <> head AND tail % 2 = 0)"
-_CCW = "(({2}x - {0}x) * ({1}y - {0}y) - ({1}x - {0}x) * ({2}y - {0}y))"
+_POS = "pos AS (SELECT tail, head, (tail * 37 % 1009)::DOUBLE AS ax, (tail * 53 % 997)::DOUBLE AS ay, (head * 37 % 1009)::DOUBLE AS bx, (head * 53 % 997)::DOUBLE AS by_ FROM g4 WHERE tail <> head)"
 
 
 def _segments(spark, sf):
-    """The segments that the statements of edgepaint_crossings and mingle_compat fix: even tails only."""
-    return _all_segments(spark, sf).where("tail % 2 = 0")
-
-
-def _all_segments(spark, sf):
     e = views.copurchase(spark, sf).where("tail <> head")
     at = lambda c: ((F.col(c) * 37 % 1009).cast("double"), (F.col(c) * 53 % 997).cast("double"))
     (ax, ay), (bx, by) = at("tail"), at("head")
@@ -134,23 +128,10 @@ def edgepaint_crossings(spark, sf):
     return crossing_pairs(_segments(spark, sf))
 
 
-_ALL = _POS.replace(" AND tail % 2 = 0", "")
-
-
-@query("edgepaint_crossings_all", f"""WITH {G4}, {_ALL}, s AS (SELECT tail, head, ax, ay, bx, by_ AS by FROM pos),
-c AS (SELECT a.tail AS tail1, a.head AS head1, b.tail AS tail2, b.head AS head2,
- ((b.ax - a.ax) * (a.by - a.ay) - (a.bx - a.ax) * (b.ay - a.ay)) AS s1, ((b.bx - a.ax) * (a.by - a.ay) - (a.bx - a.ax) * (b.by - a.ay)) AS s2,
- ((a.ax - b.ax) * (b.by - b.ay) - (b.bx - b.ax) * (a.ay - b.ay)) AS s3, ((a.bx - b.ax) * (b.by - b.ay) - (b.bx - b.ax) * (a.by - b.ay)) AS s4
- FROM s a JOIN s b ON (a.tail, a.head) < (b.tail, b.head))
-SELECT tail1, head1, tail2, head2 FROM c WHERE s1 * s2 < 0 AND s3 * s4 < 0""")
-def edgepaint_crossings_all(spark, sf):
-    return crossing_pairs(_all_segments(spark, sf))
-
-
 @query("edgepaint_colors")
 def edgepaint_colors(spark, sf):
     """Greedy colouring of the crossing graph in edge order, per group of edges that cross transitively."""
-    return edge_colors(_all_segments(spark, sf))
+    return edge_colors(_segments(spark, sf))
 
 
 def edge_colors(segs):
@@ -167,22 +148,6 @@ def edge_colors(segs):
     return kernels.per_component(names, pairs, run, "edge string, color string")
 
 
-@query("mingle_compat", f"""WITH {G4}, {_POS}, s AS (SELECT *, sqrt((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_)) AS len FROM pos WHERE tail % 20 = 0),
-p AS (SELECT a.tail AS tail1, a.head AS head1, b.tail AS tail2, b.head AS head2, a.len AS la, b.len AS lb, (a.len + b.len) / 2 AS av,
- abs(((a.bx - a.ax) * (b.bx - b.ax) + (a.by_ - a.ay) * (b.by_ - b.ay)) / (a.len * b.len)) AS ang,
- sqrt(((a.ax + a.bx) / 2 - (b.ax + b.bx) / 2) * ((a.ax + a.bx) / 2 - (b.ax + b.bx) / 2) + ((a.ay + a.by_) / 2 - (b.ay + b.by_) / 2) * ((a.ay + a.by_) / 2 - (b.ay + b.by_) / 2)) AS away
- FROM s a JOIN s b ON (a.tail, a.head) < (b.tail, b.head)),
-q AS (SELECT *, 2 / (greatest(la, lb) / av + av / least(la, lb)) AS sc FROM p)
-SELECT tail1, head1, tail2, head2, round(CASE WHEN ang < 0.1 OR sc < 0.1 THEN 0.0 ELSE ang * sc * av / (av + away) END, 6) AS compat FROM q WHERE compat >= 0.5""")
-def mingle_compat(spark, sf):
-    s = _segments(spark, sf).where("tail % 20 = 0")
-    a, b, c = s.alias("a"), s.alias("b"), F.col
-    k = geometry.compatibility(*(c(f"{t}.{x}") for t in "ab" for x in ("ax", "ay", "bx", "by")))
-    on = (c("a.tail") < c("b.tail")) | ((c("a.tail") == c("b.tail")) & (c("a.head") < c("b.head")))
-    out = a.join(b, on).select(c("a.tail").alias("tail1"), c("a.head").alias("head1"), c("b.tail").alias("tail2"), c("b.head").alias("head2"), F.round(k, 6).alias("compat"))
-    return out.where("compat >= 0.5")
-
-
 def compatible_pairs(segs, fine: int = 4):
     """Pairs of segments with compatibility from 0.5 on. Angle, scale and position are at most 1 each, so such a
     pair has lengths within a factor of 1 + 2 * sqrt(2) < 4 and midpoints no further apart than the longer one:
@@ -205,15 +170,15 @@ def compatible_pairs(segs, fine: int = 4):
     return out.where("compat >= 0.5").select(c("p.tail").alias("tail1"), c("p.head").alias("head1"), c("q.tail").alias("tail2"), c("q.head").alias("head2"), "compat")
 
 
-@query("mingle_compat_all", f"""WITH {G4}, {_ALL}, s AS (SELECT *, sqrt((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_)) AS len FROM pos),
+@query("mingle_compat", f"""WITH {G4}, {_POS}, s AS (SELECT *, sqrt((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_)) AS len FROM pos),
 p AS (SELECT a.tail AS tail1, a.head AS head1, b.tail AS tail2, b.head AS head2, a.len AS la, b.len AS lb, (a.len + b.len) / 2 AS av,
  abs(((a.bx - a.ax) * (b.bx - b.ax) + (a.by_ - a.ay) * (b.by_ - b.ay)) / (a.len * b.len)) AS ang,
  sqrt(((a.ax + a.bx) / 2 - (b.ax + b.bx) / 2) * ((a.ax + a.bx) / 2 - (b.ax + b.bx) / 2) + ((a.ay + a.by_) / 2 - (b.ay + b.by_) / 2) * ((a.ay + a.by_) / 2 - (b.ay + b.by_) / 2)) AS away
  FROM s a JOIN s b ON (a.tail, a.head) < (b.tail, b.head) WHERE a.len > 0 AND b.len > 0),
 q AS (SELECT *, 2 / (greatest(la, lb) / av + av / least(la, lb)) AS sc FROM p)
 SELECT tail1, head1, tail2, head2, round(CASE WHEN ang < 0.1 OR sc < 0.1 THEN 0.0 ELSE ang * sc * av / (av + away) END, 6) AS compat FROM q WHERE compat >= 0.5""")
-def mingle_compat_all(spark, sf):
-    return compatible_pairs(_all_segments(spark, sf))
+def mingle_compat(spark, sf):
+    return compatible_pairs(_segments(spark, sf))
 
 
 @query("dot_lines", """SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^[A-Za-z_][A-Za-z_0-9]*$') THEN p_name ELSE '"' || replace(p_name, '"', '\\"') || '"' END

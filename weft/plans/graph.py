@@ -173,15 +173,15 @@ def attr_override(spark, sf):
     return p.select(F.col("p_partkey").alias("name"), full["color"].alias("color"), full["shape"].alias("shape"), full["size"].alias("size"))
 
 
-@query("typed_accessors", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, try_cast(substr(l_returnflag || l_linenumber, 2) AS INT) AS weight, try_cast(l_returnflag AS DOUBLE) AS minlen FROM lineitem WHERE l_orderkey % 50 = 0")
+@query("typed_accessors", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber <> 2 THEN l_linenumber END AS weight, l_quantity / 4 AS minlen,
+ CASE WHEN l_returnflag <> 'R' THEN l_returnflag = 'A' END AS fixedsize, 'line ' || l_linenumber AS label FROM lineitem""")
 def typed_accessors(spark, sf):
-    return views.table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr("try_cast(substr(concat(l_returnflag, l_linenumber), 2) AS int)").alias("weight"), F.expr("try_cast(l_returnflag AS double)").alias("minlen"))
-
-
-@query("typed_accessors_all", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, try_cast(substr(l_returnflag || l_linenumber, 2) AS INT) AS weight, try_cast(l_returnflag AS DOUBLE) AS minlen FROM lineitem")
-def typed_accessors_all(spark, sf):
-    """typed_accessors over every row; its own statement fixes the rows with l_orderkey % 50 = 0."""
-    return views.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr("try_cast(substr(concat(l_returnflag, l_linenumber), 2) AS int)").alias("weight"), F.expr("try_cast(l_returnflag AS double)").alias("minlen"))
+    """Attributes of the lines as text, read back as numbers, flags and labels; what is no number or flag is null."""
+    flag = F.when(F.col("l_returnflag") == "A", "true").when(F.col("l_returnflag") == "N", "0").otherwise("maybe")
+    weight = F.when(F.col("l_linenumber") == 2, "two").otherwise(F.col("l_linenumber").cast("string"))
+    attrs = F.create_map(F.lit("weight"), weight, F.lit("minlen"), (F.col("l_quantity") / 4).cast("string"), F.lit("fixedsize"), flag, F.lit("label"), F.concat(F.lit("line "), "l_linenumber"))
+    line = views.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", attrs.alias("attrs"))
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *basic.typed(F.col("attrs"), ["weight", "minlen", "fixedsize", "label"]))
 
 
 _NAMES = "ren AS (SELECT name, CASE WHEN name % 3 = 0 THEN name + 1000000 ELSE name END AS new_name FROM v4)"

@@ -67,7 +67,7 @@ def osage_pack(spark, sf):
 @query("scale_overlap", f"""WITH {_BOX}, p AS (SELECT abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, (a.width + b.width) / 2 + 2 AS w, (a.height + b.height) / 2 + 2 AS h FROM box a JOIN box b ON a.name < b.name)
 SELECT coalesce(round(max(least(greatest(CASE WHEN dx = 0 THEN 'inf'::DOUBLE ELSE w / dx END, 1.0), greatest(CASE WHEN dy = 0 THEN 'inf'::DOUBLE ELSE h / dy END, 1.0))), 9), 1.0)::DOUBLE AS factor, count(*) AS overlaps FROM p WHERE dx < w AND dy < h""")
 def scale_overlap(spark, sf):
-    return layout.scale_factor(_boxes(spark, sf), 2.0, 96.0).withColumn("factor", F.round("factor", 9))
+    return layout.scale_factor(_boxes(spark, sf), 2.0).withColumn("factor", F.round("factor", 9))
 
 
 @query("rank_longest_path", _LEVELS + " SELECT name, level AS rank FROM l")

@@ -17,7 +17,7 @@ from weft.sources import records
 
 @query("overlap_pairs", f"WITH {_BOX} SELECT a.grp, a.name AS name_a, b.name AS name_b FROM box a JOIN box b ON a.grp = b.grp AND a.name < b.name WHERE abs(a.x - b.x) < (a.width + b.width) / 2 + 2 AND abs(a.y - b.y) < (a.height + b.height) / 2 + 2")
 def overlap_pairs(spark, sf):
-    return spatial.overlap_pairs(_boxes(spark, sf), ["grp"], 2.0, 96.0)
+    return spatial.overlap_pairs(_boxes(spark, sf), ["grp"], 2.0)
 
 
 @query("grid_neighbors", f"WITH {_BOX} SELECT a.grp, a.name AS name_a, b.name AS name_b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS dist2 FROM box a JOIN box b ON a.grp = b.grp AND a.name < b.name WHERE abs(floor(a.x / 64) - floor(b.x / 64)) <= 1 AND abs(floor(a.y / 64) - floor(b.y / 64)) <= 1")
