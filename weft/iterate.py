@@ -38,13 +38,26 @@ def stage(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` and read it again."""
     spark = df.sparkSession
     path, schema = f"{shared_root(spark)}/weft-{name}-{uuid.uuid4().hex}", df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    with _freeing_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _LEFT[path] = spark
     out = spark.read.schema(schema).parquet(path)
     out.staged_at = path
     return out
 
 
+@contextlib.contextmanager
+def _freeing_shuffles(spark: SparkSession):
+    """While it holds, Spark drops the shuffle files of an execution when that ends: the table written stands for them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete staged tables; nothing that is still to run may read them."""
     for df in tables:
