@@ -1,72 +1,53 @@
 """Shared plumbing of the training-data operators.
 
-* ``stage`` cuts lineage by writing Parquet under ``spark.checkpoint.dir`` (a
-  folder all executors share) and reading it back, so a lost executor never
-  forces an upstream recomputation and nothing lives in machine-local folders.
-* ``components`` labels connected components with alternating large-star /
-  small-star joins; no link ever reaches the driver.
+* ``stage``, ``release`` and ``components`` come from ``weft.iterate``: tables in the folder that all executors
+  share cut lineage, so a lost executor never forces an upstream recomputation.
+* ``arrow_map`` cuts Arrow batches inside the worker, so a task holds the Python form of a slice at a time and no
+  session setting changes while a plan is built.
 """
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.iterate import components, release, shared_root, stage
+
+__all__ = ["components", "release", "shared_root", "stage"]
+
 WORD_SPACE = r"[ \t\n\x0B\f\r]+"
+SLICE_ROWS = 512
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2048) -> None:
-    """Bound an Arrow batch by rows and bytes, so very long texts never pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="weft-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again; frees the shuffle files behind it."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/weft-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+def sliced(batches, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):
+    """The batches in slices of at most ``rows`` rows and about ``size`` bytes (one row at least), without copying."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        step = max(1, min(rows, int(b.num_rows * size / max(b.nbytes, 1))))
+        for lo in range(0, b.num_rows, step):
+            yield b.slice(lo, step)
 
 
-def arrow_map(df: DataFrame, fn, schema: str, rows: int = 2048) -> DataFrame:
-    """``mapInArrow`` for a function of one RecordBatch returning a dict of columns."""
-    from pyspark.sql.types import _parse_datatype_string
+def arrow_map(df: DataFrame, fn, schema: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """``mapInArrow`` for a function of one slice of a RecordBatch returning a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
-    spark = df.sparkSession
-    small_batches(spark, rows)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None:
-                    yield pa.RecordBatch.from_arrays([to_array(out[f.name], f.type) for f in arrow], schema=arrow)
+        for batch in sliced(batches, rows):
+            out = fn(batch)
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([to_array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -83,6 +64,12 @@ def texts(batch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit key of a text, null like empty. Two texts may share one, so it only sifts; what is found by it is
+    told apart by more."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))
 
@@ -90,9 +77,9 @@ def fold(doc_id: Column, parts: int) -> Column:
 FILTER_BITS = 1 << 24
 
 
-def id_filter(ids: DataFrame, bits: int = FILTER_BITS):
-    """A broadcast bitmap over hashed ids (one long column): a semi-join's first sieve, of fixed size (2 MB)
-    whatever the input. It lets through every id of ``ids`` and, once very full, all others too; a join
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS):
+    """A broadcast bitmap over hashed keys (one long column): a semi-join's first sieve, of fixed size (2 MB)
+    whatever the input. It lets through every key of ``keys`` and, once very full, all others too; a join
     must follow. It keeps long texts that no join wants out of the shuffle."""
 
     def words(batches):
@@ -103,24 +90,23 @@ def id_filter(ids: DataFrame, bits: int = FILTER_BITS):
             np.bitwise_or.at(value, inverse, np.uint64(1) << (h & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], names=["word", "value"])
 
-    spark = ids.sparkSession
-    rows = ids.mapInArrow(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    spark = keys.sparkSession
+    rows = keys.mapInArrow(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
     table_ = np.zeros(bits >> 6, np.int64)
     table_[rows.column("word").to_numpy()] = rows.column("value").to_numpy()
     return spark.sparkContext.broadcast(table_.view(np.uint64))
 
 
-def sieve(shared, ids: np.ndarray) -> np.ndarray:
-    """Which ids the filter lets through."""
+def sieve(shared, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter lets through."""
     words = shared.value
-    h = mix64(ids.view(np.uint64)) & np.uint64((len(words) << 6) - 1)
+    h = mix64(keys.view(np.uint64)) & np.uint64((len(words) << 6) - 1)
     return (words[h >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def sifted(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``df`` without rows that ``id_filter(ids)`` rules out (null keys go, too)."""
-    shared = id_filter(ids.select(key))
-    small_batches(df.sparkSession)
+def sifted(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``df`` without rows that ``key_filter(keys)`` rules out (null keys go, too)."""
+    shared = key_filter(keys.select(key))
 
     def run(batches):
         for b in batches:
@@ -131,35 +117,6 @@ def sifted(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)`` (longs): one row ``(id, component)`` per endpoint,
-    ``component`` the smallest id reachable. Loops and repeats are harmless; no edges, no rows.
-    Large-star then small-star until every edge points at a root: O(log n) rounds in practice, each a
-    partial aggregation plus an equi-join that adaptive execution can split on hot ids."""
-    cur = stage(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc"
-    )
-    while True:
-        # done when every id hangs on one id that itself hangs on none
-        roles = cur.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(cur.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if roles.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty():
-            break
-        # large-star: every larger neighbour of u hangs on u's smallest neighbour (or u)
-        both = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        # small-star: u and its smaller neighbours hang on the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        cur = stage(small.where("a <> b").distinct(), "cc")
-    return (
-        cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        .unionByName(cur.select(F.col("b").alias("id"), F.col("b").alias("component")))
-        .distinct()
-    )
-
-
 class Forest:
     """Union-find on 0..n-1 whose roots are the smallest members."""
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import arrow_map, fold, table
+from weft.llm.common import arrow_map, fold, sliced, table
 
 BUCKETS = 1 << 14
 MAX_LANGUAGES = 512
@@ -63,15 +63,11 @@ def features(text: str, buckets: int = BUCKETS):
 
 def train(docs: DataFrame, buckets: int = BUCKETS, max_languages: int = MAX_LANGUAGES):
     """(languages, languages x buckets probabilities) from all rows of (text, lang)."""
-    from weft.llm.common import small_batches
-
-    small_batches(docs.sparkSession)
-
     def count(batches):
         import pyarrow as pa
 
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in sliced(batches):
             for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
                 f = features(t, buckets) if t else None
                 if f is not None:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import arrow_map, fold, sifted, small_batches, stage, table
+from weft.llm.common import arrow_map, fold, sifted, sliced, stage, table
 
 PREFIX = 5
 PRIOR = 20.0
@@ -55,8 +55,6 @@ def tokens(text: str) -> list[str]:
 
 def count_features(labelled: DataFrame) -> DataFrame:
     """(feature, toxic documents, clean documents) over rows of (text, toxic)."""
-    small_batches(labelled.sparkSession)
-
     def count(batches):
         sums: dict[str, list[int]] = {}
 
@@ -66,7 +64,7 @@ def count_features(labelled: DataFrame) -> DataFrame:
             sums.clear()
             return out
 
-        for b in batches:
+        for b in sliced(batches):
             for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 words = set(tokens(t or ""))
                 words |= {w[:PREFIX] + "*" for w in words if len(w) > PREFIX}
