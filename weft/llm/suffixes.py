@@ -4,20 +4,23 @@ Every byte covered by a ``LENGTH``-byte string that also starts anywhere else in
 
 Sharding: a window of LENGTH bytes names its anchor, the smallest hash among its GRAM-byte grams. Equal
 windows have equal anchors, so windows are sharded by anchor hash and never have to meet another shard.
-Anchors are about 2% of the positions; only those found at two or more places are live, and only the
-stretches of text whose windows share a live anchor travel (as contexts, equal contexts once with a count).
+Anchors are about 2% of the positions; only those found twice are live, and only the
+stretches of text whose windows share a live anchor travel (as contexts of at most CUT windows, equal contexts once
+with a count). An anchor found more than HOT times is sharded further, by where it stands in the window
+(in steps of STEP) and by the hash of the bytes that all windows of that step share: equal windows agree in both.
 
-Within a shard an index family grows: each batch of contexts gets a suffix array (its window starts sorted
-by their LENGTH bytes), whose neighbours show repeats inside the batch; it is merge-scanned against every
+Within a shard an index family grows: each batch of contexts gets a suffix array (places in the shard's bytes, sorted
+by the LENGTH bytes from there), whose neighbours show repeats inside the batch; it is merge-scanned against every
 level of the family for repeats of older text; its unmatched suffixes become a level, and levels of equal
-size class merge, so each suffix is merged O(log n) times. Comparisons are of whole windows, byte by byte.
+size class are merged by one linear pass, so each suffix is merged O(log n) times. Windows are looked at CHUNK at a
+time, byte by byte; what stays in memory is the shard's bytes and one number per place.
 
-Texts with equal bytes are folded beforehand: any text of LENGTH bytes or more with a copy goes entirely,
-and one of the copies stands for them in the index.
+Texts with equal bytes are folded beforehand, and texts go by their SHA-256 throughout: any text of LENGTH bytes or
+more with a copy goes entirely, and one of the copies stands for them in the index.
 
 Edge cases: null counts as empty; texts shorter than LENGTH keep everything; overlapping repeats and
-repeats within one text count; matches never cross documents; rows repeating a doc_id are separate
-documents with one id; an empty table gives no rows; extra columns are ignored.
+repeats within one text count; matches never cross documents; rows repeating a doc_id, and rows without one, are
+documents of their own; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from weft.llm.common import arrow_map, mix64, sifted, small_batches, stage, table
+from weft.llm.common import arrow_map, mix64, release, sifted, sliced, stage, table, text_key
 
 LENGTH = 200
 GRAM = 100
+CUT = 1 << 15
+HOT = 1000
+STEP = 32
+CHUNK = 1 << 14
+BATCH_BYTES = 200_000
+SHARD_BYTES = 8 << 20  # from this size on a family ends with its shard
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -50,13 +59,17 @@ def _powers(n: int):
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """A 64-bit hash of each gram-byte string of the bytes."""
-    n = len(data)
-    up, down = _powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up, out=sums[1:])
-    return mix64((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+def gram_hashes(data: np.ndarray, gram: int = GRAM, step: int = 1 << 17) -> np.ndarray:
+    """A 64-bit hash of each gram-byte string of the bytes, ``step`` of them at a time."""
+    out = np.empty(max(0, len(data) - gram + 1), np.uint64)
+    for lo in range(0, len(out), step):
+        part = data[lo : lo + step + gram - 1]
+        n = len(part)
+        up, down = _powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[part] * up, out=sums[1:])
+        out[lo : lo + step] = mix64((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+    return out
 
 
 def _sliding(v: np.ndarray, width: int, op) -> np.ndarray:
@@ -76,74 +89,109 @@ def window_anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
 
 
 def anchor_values(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """The hash at every position that is some window's anchor, once for each position."""
+    """The hashes at the positions that are some window's anchor, those of several positions twice."""
     h, m = window_anchors(data, length, gram)
     width = length - gram + 1
     padded = np.zeros(len(m) + 2 * (width - 1), np.uint64)
     padded[width - 1 : width - 1 + len(m)] = m
-    return h[h == _sliding(padded, width, np.maximum)]
+    values, n = np.unique(h[h == _sliding(padded, width, np.maximum)], return_counts=True)
+    return np.concatenate((values, values[n > 1]))
 
 
-def contexts(data: bytes, live: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(first window start, anchor, bytes) of the runs of windows with one live anchor."""
-    _, m = window_anchors(np.frombuffer(data, np.uint8), length, gram)
+def contexts(data: bytes, live: np.ndarray, hot: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    """(first window start, anchor, sub-shard, bytes) of the runs of windows with one live anchor; sub-shard 0 unless
+    the anchor is hot."""
+    h, m = window_anchors(np.frombuffer(data, np.uint8), length, gram)
     cut = np.concatenate(([0], np.flatnonzero(m[1:] != m[:-1]) + 1, [len(m)]))
     good = np.flatnonzero(np.isin(m[cut[:-1]], live))
+    busy = set(hot.tolist())
     for lo, hi, a in zip(cut[good].tolist(), cut[good + 1].tolist(), m[cut[good]].tolist()):
-        yield lo, a, data[lo : hi + length - 1]
+        for at in range(lo, hi, CUT):
+            end = min(at + CUT, hi)
+            if a not in busy:
+                yield at, a, 0, data[at : end + length - 1]
+                continue
+            start = np.arange(at, end)
+            places = at + np.flatnonzero(h[at : end + length - gram] == np.uint64(a))
+            k = np.searchsorted(places, start)
+            place = places[k]  # the anchor's first place in each window
+            many = np.searchsorted(places, start + length - gram, side="right") - k > 1  # windows with several stay one sub-shard
+            step = np.where(many, -1, (place - start) // STEP)
+            edges = [0, *(np.flatnonzero((step[1:] != step[:-1]) | (place[1:] != place[:-1]) & ~many[1:]) + 1).tolist(), end - at]
+            for x, y in zip(edges, edges[1:]):
+                sub = 0
+                if not many[x]:
+                    common = int(place[x]) - int(step[x]) * STEP  # the last start of the step
+                    sub = xxh3_64_intdigest(data[common : common - STEP + 1 + length], seed=int(step[x]) + 1)
+                yield at + x, a, sub, data[at + x : at + y + length - 1]
 
 
 class Family:
-    """The logarithmic family of suffix arrays over windows of a shard."""
+    """The logarithmic family of suffix arrays over a shard's windows."""
 
     def __init__(self, length: int = LENGTH):
         self.length = length
-        self.kind = f"S{length}"
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # sorted windows, their ids
-        self.repeated: list[np.ndarray] = []  # per batch: which of its windows repeat
-        self.bases: list[int] = []
-        self.count = 0
-
-    def _mark(self, ids: np.ndarray) -> None:
-        batch = np.searchsorted(self.bases, ids, side="right") - 1
-        for b in np.unique(batch):
-            self.repeated[b][ids[batch == b] - self.bases[b]] = True
-
-    def add(self, texts: list[bytes], counts: list[int]) -> None:
-        """Index one batch; a text counted more than once repeats entirely."""
-        sizes = np.array([len(t) - self.length + 1 for t in texts], np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        starts = np.cumsum(sizes + self.length - 1) - (sizes + self.length - 1)
-        place = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        windows = np.lib.stride_tricks.sliding_window_view(data, self.length)[place]
-        windows = np.ascontiguousarray(windows).view(self.kind).ravel()
-        repeat = np.repeat(np.array(counts) > 1, sizes)
-        order = np.argsort(windows, kind="stable")
-        windows = windows[order]
-        same = windows[1:] == windows[:-1]
+        self.data = np.zeros(0, np.uint8)
+        self.repeated = np.zeros(0, bool)  # by place
+        self.size = 0
+        self.levels: list[np.ndarray] = []  # places, sorted by their windows
+
+    def _windows(self, places: np.ndarray) -> np.ndarray:
+        view = np.lib.stride_tricks.sliding_window_view(self.data[: self.size], self.length)
+        return np.ascontiguousarray(view[places]).view(f"S{self.length}").ravel()
+
+    def add(self, texts: list[bytes], counts: list[int]) -> np.ndarray:
+        """Index one batch, a text counted more than once repeating entirely; gives each text's first place."""
+        length, new = self.length, np.frombuffer(b"".join(texts), np.uint8)
+        base, self.size = self.size, self.size + len(new)
+        if self.size > len(self.data):
+            room = max(2 * len(self.data), self.size)
+            self.data, self.repeated = (np.concatenate((v, np.zeros(room - len(v), v.dtype))) for v in (self.data, self.repeated))
+        self.data[base : self.size] = new
+        sizes = np.array([len(t) for t in texts], np.int64)
+        firsts = base + np.cumsum(sizes) - sizes
+        number = sizes - length + 1
+        place = np.repeat(firsts - (np.cumsum(number) - number), number) + np.arange(int(number.sum()))
+        self.repeated[place] = np.repeat(np.array(counts) > 1, number)
+        keys = self._windows(place)
+        order = np.argsort(keys, kind="stable")
+        keys, place = keys[order], place[order]
+        same = keys[1:] == keys[:-1]
         fresh = np.concatenate(([True], ~same))
         group = np.cumsum(fresh) - 1
-        more = np.bincount(group) > 1
-        unique = windows[fresh]
-        self.bases.append(self.count)
-        self.repeated.append(repeat)
-        known = np.zeros(len(unique), bool)
-        for keys, ids in self.levels:
-            at = np.minimum(np.searchsorted(keys, unique), len(keys) - 1)
-            hit = keys[at] == unique
-            if hit.any():
-                known |= hit
-                self._mark(ids[at[hit]])
-        repeat[order[(more | known)[group]]] = True
-        self.levels.append((unique[~known], self.count + order[fresh][~known]))
-        self.count += len(order)
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            (ka, ia), (kb, ib) = self.levels[-2:]
-            keys = np.concatenate((ka, kb))
-            merged = np.argsort(keys, kind="stable")
-            self.levels[-2:] = [(keys[merged], np.concatenate((ia, ib))[merged])]
-        if self.levels and not len(self.levels[-1][0]):
-            self.levels.pop()
+        unique, known = keys[fresh], np.zeros(int(group[-1]) + 1, bool)
+        for level in self.levels:
+            self._scan(level, unique, known)
+        self.repeated[place[(np.bincount(group) > 1)[group] | known[group]]] = True
+        if not known.all():
+            self.levels.append(place[fresh][~known])
+        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
+            self.levels[-2:] = [self._merge(*self.levels[-2:])]
+        return firsts
+
+    def _scan(self, level: np.ndarray, keys: np.ndarray, known: np.ndarray) -> None:
+        """Mark what the sorted keys and a level have in common: ``known`` on their side, ``repeated`` on the level's."""
+        for lo in range(0, len(level), CHUNK):
+            part = level[lo : lo + CHUNK]
+            old = self._windows(part)
+            a, b = np.searchsorted(keys, old[0]), np.searchsorted(keys, old[-1], side="right")
+            if a == b:
+                continue
+            at = np.searchsorted(old, keys[a:b])
+            hit = old[at] == keys[a:b]
+            known[a:b] |= hit
+            self.repeated[part[at[hit]]] = True
+
+    def _merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Two levels as one, by one pass over both; they have no window in common."""
+        out, i, j = [], 0, 0
+        while i < len(a) and j < len(b):
+            ka, kb = self._windows(a[i : i + CHUNK]), self._windows(b[j : j + CHUNK])
+            end = min(ka[-1], kb[-1])
+            na, nb = np.searchsorted(ka, end, side="right"), np.searchsorted(kb, end, side="right")
+            out.append(np.insert(a[i : i + na], np.searchsorted(ka[:na], kb[:nb]), b[j : j + nb]))
+            i, j = i + na, j + nb
+        return np.concatenate([*out, a[i:], b[j:]])
 
 
 def runs(flags: np.ndarray) -> list[int]:
@@ -152,31 +200,40 @@ def runs(flags: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
+SHARD = ["anchor", "sub"]
+
+
 def scan_shard(batches):
-    """Contexts of a shard (anchor, ck, ctx, copies) -> (anchor, ck, found): window runs that repeat."""
-    family, names = Family(), []
-    for b in batches:
-        texts, copies = b.column("ctx").to_pylist(), b.column("copies").to_pylist()
-        anchors, cks = b.column("anchor").to_pylist(), b.column("ck").to_pylist()
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= 400_000):
-                size += len(texts[end])
-                end += 1
-            family.add(texts[at:end], copies[at:end])
-            names.append((anchors[at:end], cks[at:end], [len(t) - LENGTH + 1 for t in texts[at:end]]))
-            at = end
-    family.levels.clear()
-    for flags, (anchors, cks, sizes) in zip(family.repeated, names):
-        cut = np.cumsum([0, *sizes]).tolist()
-        found = [runs(flags[lo:hi]) for lo, hi in zip(cut, cut[1:])]
-        keep = [k for k, f in enumerate(found) if f]
-        if keep:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([anchors[k] for k in keep], pa.int64()), pa.array([cks[k] for k in keep], pa.int64()), pa.array([found[k] for k in keep], pa.list_(pa.int32()))],
-                names=["anchor", "ck", "found"],
-            )
+    """Contexts of shards (anchor, sub, ck, ctx, copies), shard by shard -> (anchor, sub, ck, found): window runs that
+    repeat. Small shards share a family; one that has grown ends with its shard."""
+    family, names, now = Family(), [], None
+
+    def rows():
+        columns: list[list] = [[], [], [], []]
+        for anchors, subs, cks, sizes, firsts in names:
+            for anchor, sub, ck, size, first in zip(anchors, subs, cks, sizes, firsts.tolist()):
+                if found := runs(family.repeated[first : first + size]):
+                    for c, v in zip(columns, (anchor, sub, ck, found)):
+                        c.append(v)
+        names.clear()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["anchor", "sub", "ck", "found"])
+
+    for b in sliced(batches, 4096, BATCH_BYTES):
+        anchors, subs, cks, texts, copies = (b.column(c).to_pylist() for c in ("anchor", "sub", "ck", "ctx", "copies"))
+        ends = [k for k in range(1, len(texts)) if (anchors[k], subs[k]) != (anchors[k - 1], subs[k - 1])]
+        cuts = [0, len(texts)]
+        if family.size > SHARD_BYTES and (anchors[0], subs[0]) == now and ends:
+            cuts = [0, ends[0], len(texts)]  # the rest of the grown shard stays with it
+        for lo, hi in zip(cuts, cuts[1:]):
+            if family.size > SHARD_BYTES and (anchors[lo], subs[lo]) != now:
+                yield rows()
+                family = Family()
+            firsts = family.add(texts[lo:hi], copies[lo:hi])
+            names.append((anchors[lo:hi], subs[lo:hi], cks[lo:hi], [len(t) - LENGTH + 1 for t in texts[lo:hi]], firsts))
+        now = (anchors[-1], subs[-1])
+    if names:
+        yield rows()
 
 
 def _signed(v: int) -> int:
@@ -195,52 +252,73 @@ def covered(starts: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[i
     return [(a, b) for a, b in out]
 
 
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(profiles, found): profiles (row, doc_id, n_bytes, sha, copies, rep); found (doc_id, starts) for the
-    representatives, starts being flat runs of window starts that repeat."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = F.coalesce("text", F.lit(""))
-    prof = stage(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha")), "suffix")
-    groups = stage(prof.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.max("n_bytes").alias("n_bytes")), "suffix-classes")
-    reps = groups.where(F.col("n_bytes") >= LENGTH).select(F.col("rep").alias("doc_id"), "sha")
+def _once(batches):
+    """Slices with each text (by sha) once, as far as a task sees."""
+    seen: set = set()
+    for b in sliced(batches):
+        keep = []
+        for sha in b.column("sha").to_pylist():
+            keep.append(sha not in seen)
+            seen.add(sha)
+        yield b.filter(pa.array(keep))
+
+
+def long_texts(docs: DataFrame) -> DataFrame:
+    return docs.where(F.octet_length("text") >= LENGTH).select("text", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), text_key(F.col("text")).alias("tk"))
+
 
-    def anchors(batch):
-        found = [anchor_values(np.frombuffer(t.encode(), np.uint8)).view(np.int64) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "sha": batch.column("sha"), "anchors": found}
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(sha, tk, starts) of the long texts with repeated windows, starts being flat runs of their window starts."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    # two rows can share a doc_id; the text's digest tells them apart
-    long_docs = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    marked = arrow_map(long_docs, anchors, "doc_id long, sha string, anchors array<long>")
-    marked = stage(marked.join(reps, ["doc_id", "sha"]).dropDuplicates(["sha"]), "suffix-anchors")
-    rows = marked.select("doc_id", "sha", F.explode("anchors").alias("anchor"))
-    live = stage(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "suffix-live")
-    wanted = stage(rows.join(live, "anchor").groupBy("doc_id", "sha").agg(F.collect_set("anchor").alias("live")), "suffix-wanted")
+    def anchors(batches):
+        for b in _once(batches):
+            found = [anchor_values(np.frombuffer(t.encode(), np.uint8)).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("sha"), b.column("tk"), pa.array(found, pa.list_(pa.int64()))], names=["sha", "tk", "anchors"])
+
+    marked = stage(long_texts(docs).mapInArrow(anchors, "sha string, tk long, anchors array<long>").dropDuplicates(["sha"]), "suffix-anchors")
+    rows = marked.select("sha", "tk", F.explode("anchors").alias("anchor"))
+    live = stage(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")), "suffix-live")
+    wanted = rows.join(live, "anchor").groupBy("sha", "tk").agg(F.collect_set("anchor").alias("live"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    wanted = stage(wanted, "suffix-wanted")
+    release(marked, live)
 
     def cut(batches):
-        for b in batches:
-            ids, anc, cks, lo, ctx = [], [], [], [], []
-            for d, t, live in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "live"))):
-                for start, a, c in contexts(t.encode(), np.array(live, np.int64).view(np.uint64)):
-                    ids.append(d), anc.append(_signed(a)), cks.append(_signed(xxh3_64_intdigest(c))), lo.append(start), ctx.append(c)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(anc, pa.int64()), pa.array(cks, pa.int64()), pa.array(lo, pa.int64()), pa.array(ctx, pa.binary())], names=["doc_id", "anchor", "ck", "lo", "ctx"])
-
-    small_batches(spark, 256)
-    cuts = stage(sifted(long_docs, wanted).join(wanted, ["doc_id", "sha"]).select("doc_id", "text", "live").mapInArrow(cut, "doc_id long, anchor long, ck long, lo long, ctx binary"), "suffix-contexts")
-    unique = cuts.groupBy("anchor", "ck", "ctx").agg(F.count("*").alias("copies"))
-    small_batches(spark, 2048)
-    shards = unique.repartition(parts * 4, "anchor").mapInArrow(scan_shard, "anchor long, ck long, found array<int>")
+        last = None
+        for b in sliced(batches):
+            columns: list[list] = [[], [], [], [], [], []]
+            for sha, t, live, hot in zip(*(b.column(c).to_pylist() for c in ("sha", "text", "live", "hot"))):
+                if sha == last:  # the join leaves copies of a text side by side
+                    continue
+                last = sha
+                for start, a, sub, c in contexts(t.encode(), *(np.array(x, np.int64).view(np.uint64) for x in (live, hot))):
+                    for col, v in zip(columns, (sha, _signed(a), _signed(sub), _signed(xxh3_64_intdigest(c)), start, c)):
+                        col.append(v)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["sha", "anchor", "sub", "ck", "lo", "ctx"])
+
+    def once(batches):
+        return _once(batches)
+
+    few = sifted(long_texts(docs), wanted, "tk").mapInArrow(once, "text string, sha string, tk long").select("sha", "text")
+    cuts = stage(few.join(wanted.select("sha", "live", "hot"), "sha").select("sha", "text", "live", "hot").mapInArrow(cut, "sha string, anchor long, sub long, ck long, lo long, ctx binary"), "suffix-contexts")
+    unique = cuts.groupBy("anchor", "sub", "ck", "ctx").agg(F.count("*").alias("copies"))
+    shards = unique.repartition(parts * 4, *SHARD).sortWithinPartitions(*SHARD).mapInArrow(scan_shard, "anchor long, sub long, ck long, found array<int>")
     shards = stage(shards, "suffix-found")
-    hit = cuts.select("doc_id", "anchor", "ck", "lo").join(shards, ["anchor", "ck"])
-    starts = hit.select("doc_id", F.transform("found", lambda x: x + F.col("lo")).alias("run"))
-    return prof.join(groups.select("sha", "copies", "rep"), "sha"), starts.groupBy("doc_id").agg(F.flatten(F.collect_list("run")).alias("starts"))
+    hit = cuts.select("sha", "anchor", "sub", "ck", "lo").join(shards, [*SHARD, "ck"])
+    starts = hit.groupBy("sha").agg(F.flatten(F.collect_list(F.transform("found", lambda x: x + F.col("lo")))).alias("starts"))
+    out = stage(starts.join(wanted.select("sha", "tk"), "sha"), "suffix-starts")
+    release(wanted, cuts, shards)
+    return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per document; kept is the remaining text as bytes
     (null where nothing or everything goes)."""
-    prof, found = repeated_windows(docs)
+    text = F.coalesce("text", F.lit(""))
+    prof = stage(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha")), "suffix")
+    copied = stage(prof.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1").select("sha"), "suffix-copied")
+    edits = stage(repeated_windows(docs).join(copied, "sha", "left_anti"), "suffix-edits")
 
     def cut(batch):
         out: dict[str, list] = {"n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
@@ -256,20 +334,39 @@ def dedup(docs: DataFrame) -> DataFrame:
                 out[k].append(v)
         return out | {"sha": batch.column("sha")}
 
-    named = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    lone = prof.where("copies = 1").select("doc_id", "sha")
-    edits = stage(found.join(lone, "doc_id"), "suffix-edits")
-    done = arrow_map(sifted(named, edits).join(edits, ["doc_id", "sha"]).select("sha", "text", "starts"), cut, "sha string, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    return prof.join(done, "sha", "left").select(
+    # a text under edits has no copy, so it comes once
+    lone = sifted(long_texts(docs), edits, "tk").join(edits.select("sha", "starts"), "sha").select("sha", "text", "starts")
+    done = arrow_map(lone, cut, "sha string, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    gone = copied.select("sha", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
+    # short texts keep everything and stay out of the join
+    out = prof.where(F.col("n_bytes") >= LENGTH).join(done.unionByName(gone), "sha", "left")
+    out = out.select(
         "doc_id",
         "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(F.col("n_spans").isNull(), F.lit(0)).otherwise(F.coalesce("n_removed", "n_bytes")).cast("long").alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
         "kept",
     )
+    none = F.lit(0).cast("long")
+    return out.unionByName(prof.where(F.col("n_bytes") < LENGTH).select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept")))
 
 
 def op9_suffix_family(spark, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+#: Every window of 200 bytes, in hex, cut from pieces of 1,000 starts; those that occur twice; runs of what they cover.
+OP9_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT rid, o, substr(h, 2 * o + 1, 2 * 1199) AS piece FROM (SELECT rid, h, unnest(range(0, length(h) // 2, 1000)) AS o FROM d)),
+w AS MATERIALIZED (SELECT rid, o + i AS pos, md5(substr(piece, 2 * i + 1, 400)) AS key FROM (SELECT rid, o, piece, unnest(range(0, least(1000, length(piece) // 2 - 199))) AS i FROM p)),
+g AS (SELECT rid, pos, lag(pos) OVER (PARTITION BY rid ORDER BY pos) AS before FROM w JOIN (SELECT key FROM w GROUP BY 1 HAVING count(*) > 1) USING (key)),
+k AS (SELECT rid, pos, sum((before IS NULL OR pos - before > 200)::INT) OVER (PARTITION BY rid ORDER BY pos) AS run FROM g),
+r AS (SELECT rid, run, min(pos) AS lo, max(pos) + 200 AS hi FROM k GROUP BY 1, 2),
+b AS (SELECT r.*, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) AS was FROM r),
+e AS (SELECT rid, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * was + 1, 2 * (lo - was)), '' ORDER BY lo) AS kept, max(hi) AS last
+ FROM b JOIN d USING (rid) GROUP BY 1)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(unhex(CASE WHEN e.rid IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN e USING (rid)
+"""
