@@ -2,128 +2,175 @@
 
 A text splits into paragraphs (lines); a section ends at a blank line or at a paragraph whose hash
 says so (content-defined, so an edit moves no later boundary); a paragraph splits into phrases of about
-six words, again at content-defined words. Leaves hash their exact characters, so every character is
-covered; inner nodes hash their children; the root is a SHA-256 over the section hashes.
+six words, again at content-defined places. A leaf is the 128-bit hash of a phrase's exact characters, so every
+character is covered; paragraphs and sections hash their children's full digests (128 bits); the root is a SHA-256
+over the sections' digests.
 
-A fingerprint is ``root;sections``: sections joined by ``/``, their paragraphs by ``.``, a paragraph
-being its phrases' 7-character codes (6 of hash, 1 of weight). The inner hashes follow from the leaves,
-so two strings suffice to test equality (roots), to descend only where branches differ, to locate edits
-(``edits``) and to measure likeness: the weight of shared leaves over the larger total weight. It holds
-about 7 characters per six words and is never truncated.
+A fingerprint is ``root;sections``: sections joined by ``/``, each ``hash=paragraphs``; paragraphs joined by ``.``,
+each ``hash:leaves``; inner hashes are shown by 12 characters (72 bits), leaves by 7 (36 bits of their hash, and their
+weight). Two strings suffice to test equality (by roots, which come from full digests), and to descend: sections with
+one hash are equal and need no look inside, then paragraphs of the others, then phrases. The descent locates edits
+(``edits``) and measures likeness: the weight of what both hold over the larger total weight. A fingerprint holds
+about 8 characters per six words and is never truncated.
 
 Edge cases: null counts as the empty text, which has one empty leaf; equal texts have equal
-fingerprints; a table of one document has itself as next; rows repeating a doc_id follow one another in
-text order; an empty table gives no rows; very long texts are hashed whole; extra columns are ignored.
+fingerprints; a table of one document has itself as next; rows without a doc_id come before all others; rows sharing
+a doc_id (or having none) follow one another in the order of a hash of their text; an empty table gives no rows;
+very long texts are hashed whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from base64 import urlsafe_b64encode
 from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest as hash64
+from xxhash import xxh3_128_digest
 
-from weft.llm.common import small_batches, table
+from weft.llm.common import sliced, table, text_key
 
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_"
 
-
 _PAIRS = [a + b for a in ALPHABET for b in ALPHABET]
-
-
-def _code(phrase: str) -> str:
-    n, h = len(phrase), hash64(phrase.encode())
-    return _PAIRS[h & 4095] + _PAIRS[h >> 12 & 4095] + _PAIRS[h >> 24 & 4095] + (ALPHABET[n] if n < 63 else "_")
-
-
 _STOP = "tx.;:!?"
 _PHRASE = re.compile(f"[^{_STOP}]*(?:[{_STOP}](?! )[^{_STOP}]*)*(?:[{_STOP}] )?")
 
 
-def _phrases(line: str) -> str:
-    """The codes of a line's phrases: a phrase ends at a blank after one of a few characters (about every
-    sixth word); longer stretches without one are cut every 256 characters."""
-    codes = []
+def phrases(line: str) -> list[str]:
+    """A phrase ends at a blank after one of a few characters (about every sixth word); longer stretches without one
+    are cut every 256 characters. An empty line is one empty phrase."""
+    out = []
     for p in _PHRASE.findall(line):
         if len(p) <= 256:
             if p:
-                codes.append(_code(p))
+                out.append(p)
         else:
-            codes += [_code(p[i : i + 256]) for i in range(0, len(p), 256)]
-    return "".join(codes) or _code("")
+            out += [p[i : i + 256] for i in range(0, len(p), 256)]
+    return out or [""]
+
 
+def _inner(children: bytes) -> bytes:
+    return hashlib.blake2b(children, digest_size=16).digest()
 
-def tree(text: str) -> list[list[str]]:
-    """Sections of paragraphs, each paragraph the codes of its phrases."""
-    sections: list[list[str]] = [[]]
-    lines = text.split("\n")
-    for k, line in enumerate(lines):
-        paragraph = _phrases(line if k == len(lines) - 1 else line + "\n")
-        sections[-1].append(paragraph)
-        if k < len(lines) - 1 and (not line.strip() or hash64(paragraph) % 4 == 0):
-            sections.append([])
-    return sections if sections[-1] or len(sections) == 1 else sections[:-1]
 
+def _shown(digest: bytes) -> str:
+    return urlsafe_b64encode(digest[:9]).decode()
 
-def root(sections: list[list[str]]) -> str:
-    top = hashlib.sha256()
-    for section in sections:
-        node = hashlib.blake2b(digest_size=16)
-        for paragraph in section:
-            node.update(hashlib.blake2b(paragraph.encode(), digest_size=16).digest())
-        top.update(node.digest())
-    return top.hexdigest()
 
+def paragraph(line: str) -> tuple[bytes, str, int, str]:
+    """(digest, shown hash, weight, leaves) of a line."""
+    codes, digests, weight = [], [], 0
+    for p in phrases(line):
+        d, n = xxh3_128_digest(p.encode()), len(p)
+        h = int.from_bytes(d[:5])
+        n = n if n < 63 else 63
+        codes.append(_PAIRS[h & 4095] + _PAIRS[h >> 12 & 4095] + _PAIRS[h >> 24 & 4095] + ALPHABET[n])
+        digests.append(d)
+        weight += n or 1
+    digest = _inner(b"".join(digests))
+    return digest, _shown(digest), weight, "".join(codes)
 
-def render(sections: list[list[str]]) -> str:
-    return root(sections) + ";" + "/".join(".".join(s) for s in sections)
+
+class Node:
+    """A text's tree. ``sections``: (shown hash, weight, paragraphs), paragraphs (shown hash, weight, leaves);
+    ``lines``: the paragraphs by their text, so that a text sharing lines need not hash them again."""
+
+    __slots__ = ("root", "sections", "weight", "text", "lines")
+
+    def __init__(self, text: str, *known: "Node"):
+        self.lines = {}
+        top, lines = hashlib.sha256(), text.split("\n")
+        self.sections, held = [], []
+
+        def close():
+            digest = _inner(b"".join(p[0] for p in held))
+            top.update(digest)
+            self.sections.append((_shown(digest), sum(p[2] for p in held), [p[1:] for p in held]))
+            held.clear()
+
+        last = len(lines) - 1
+        for k, line in enumerate(lines):
+            line = line if k == last else line + "\n"
+            p = self.lines.get(line) or next((n.lines[line] for n in known if line in n.lines), None) or paragraph(line)
+            self.lines[line] = p
+            held.append(p)
+            if k < last and (line.isspace() or p[0][-1] % 4 == 0):
+                close()
+        if held:
+            close()
+        self.sections = [(h, w, [(x, y, z) for x, y, z in ps]) for h, w, ps in self.sections]
+        self.weight = sum(s[1] for s in self.sections)
+        self.root = top.hexdigest()
+        self.text = self.root + ";" + "/".join(f"{h}=" + ".".join(f"{x}:{z}" for x, _, z in ps) for h, _, ps in self.sections)
 
 
 def fingerprint(text: str | None) -> str:
-    return render(tree(text or ""))
+    return Node(text or "").text
 
 
-def parse(fp: str) -> list[list[str]]:
-    return [s.split(".") for s in fp.partition(";")[2].split("/")]
+_WEIGHT = {c: max(k, 1) for k, c in enumerate(ALPHABET)}
 
 
-def _leaves(sections) -> list[str]:
-    return [p[i : i + 7] for s in sections for p in s for i in range(0, len(p), 7)]
+def _leaves(codes: str) -> list[str]:
+    return [codes[i : i + 7] for i in range(0, len(codes), 7)]
 
 
-_WEIGHT = {c: max(k, 1) for k, c in enumerate(ALPHABET)}
+def parse(fp: str) -> list[tuple[str, int, list[tuple[str, int, str]]]]:
+    """The sections of a fingerprint, as a Node holds them."""
+    out = []
+    for section in fp.partition(";")[2].split("/"):
+        name, _, rest = section.partition("=")
+        ps = [(h, sum(_WEIGHT[x[6]] for x in _leaves(z)), z) for h, _, z in (p.partition(":") for p in rest.split("."))]
+        out.append((name, sum(p[1] for p in ps), ps))
+    return out
 
 
-class Node:
-    """A parsed fingerprint kept for repeated comparison."""
+def _split(xs, ys):
+    """Two lists of (hash, weight, ...): the weight that both hold, and what of either the other lacks."""
+    have, used, shared, left = Counter(y[0] for y in ys), Counter(), 0, []
+    for x in xs:
+        if have[x[0]] > used[x[0]]:
+            used[x[0]] += 1
+            shared += x[1]
+        else:
+            left.append(x)
+    right = []
+    for y in ys:
+        if used[y[0]] > 0:
+            used[y[0]] -= 1
+        else:
+            right.append(y)
+    return shared, left, right
 
-    __slots__ = ("root", "counts", "weight", "text")
 
-    def __init__(self, sections):
-        self.text = render(sections)
-        self.root = self.text[:64]
-        self.counts = Counter(_leaves(sections))
-        self.weight = sum(_WEIGHT[c[6]] * n for c, n in self.counts.items())
+def _likeness(a, b, weight: int) -> float:
+    """By descent into what differs: sections, then paragraphs, then phrases."""
+    both, a, b = _split(a, b)
+    if a and b:
+        more, a, b = _split([p for s in a for p in s[2]], [p for s in b for p in s[2]])
+        both += more
+        have = Counter(x for p in b for x in _leaves(p[2])) if a and b else {}
+        if have:
+            for x, n in Counter(x for p in a for x in _leaves(p[2])).items():
+                if m := have.get(x):
+                    both += _WEIGHT[x[6]] * min(n, m)
+    return both / weight
 
 
 def likeness(a: Node, b: Node) -> float:
-    """1 for equal roots, else shared leaf weight over the larger weight."""
-    if a.root == b.root:
-        return 1.0
-    small, big = (a.counts, b.counts) if len(a.counts) <= len(b.counts) else (b.counts, a.counts)
-    both = 0
-    for c, n in small.items():
-        m = big.get(c)
-        if m:
-            both += _WEIGHT[c[6]] * (n if n < m else m)
-    return both / max(a.weight, b.weight)
+    """1 for equal roots, else what both hold over the larger weight."""
+    return 1.0 if a.root == b.root else _likeness(a.sections, b.sections, max(a.weight, b.weight))
 
 
 def similarity(fp_a: str, fp_b: str) -> float:
-    return likeness(Node(parse(fp_a)), Node(parse(fp_b)))
+    """``likeness`` from two fingerprints alone."""
+    if fp_a[:64] == fp_b[:64]:
+        return 1.0
+    a, b = parse(fp_a), parse(fp_b)
+    return _likeness(a, b, max(sum(s[1] for s in a), sum(s[1] for s in b)))
 
 
 def edits(fp_a: str, fp_b: str) -> list[tuple[int, int, int]]:
@@ -131,22 +178,16 @@ def edits(fp_a: str, fp_b: str) -> list[tuple[int, int, int]]:
     found by descending only into sections and paragraphs whose hashes b lacks."""
     if fp_a[:64] == fp_b[:64]:
         return []
-    a, b = parse(fp_a), parse(fp_b)
-    sections, paragraphs = Counter(map(tuple, b)), Counter(p for s in b for p in s)
-    leaves, out = Counter(_leaves(b)), []
-    for i, s in enumerate(a):
-        if sections[tuple(s)] > 0:
-            sections[tuple(s)] -= 1
-            continue
-        for j, p in enumerate(s):
-            if paragraphs[p] > 0:
-                paragraphs[p] -= 1
-                continue
-            for k in range(0, len(p), 7):
-                if leaves[p[k : k + 7]] > 0:
-                    leaves[p[k : k + 7]] -= 1
-                else:
-                    out.append((i, j, k // 7))
+    a = [(h, w, [(x, y, z, i, j) for j, (x, y, z) in enumerate(ps)]) for i, (h, w, ps) in enumerate(parse(fp_a))]
+    _, a, b = _split(a, parse(fp_b))
+    _, a, b = _split([p for s in a for p in s[2]], [p for s in b for p in s[2]])
+    have, out = Counter(x for p in b for x in _leaves(p[2])), []
+    for _, _, codes, i, j in a:
+        for k, x in enumerate(_leaves(codes)):
+            if have[x] > 0:
+                have[x] -= 1
+            else:
+                out.append((i, j, k))
     return out
 
 
@@ -156,44 +197,44 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - cut] + other[:cut]
 
 
-def in_order(docs: DataFrame, work, schema: str, per_task: int = 2) -> DataFrame:
-    """Run ``work(iterator of (doc_id, text, next text) rows)`` over documents in doc_id order, each row
-    with the text after it (after the last, the first).
+def in_order(docs: DataFrame, work, schema: str) -> DataFrame:
+    """Run ``work(iterator of (spare, doc_id, text) rows)`` over documents in order, range by range. Each range ends
+    with a spare row, the first document of the next range (of the first one, after the last), so one shuffle of the
+    texts suffices and a task sees its range alone.
 
-    Ids are cut into ranges by approximate quantiles; each range also gets the first document of the next
-    range, so one shuffle of the texts suffices and no task sees more than its range."""
+    Ids are cut into ranges by approximate quantiles, as fine as there are ranges; range numbers are partition
+    numbers. What reaches the driver is a cut and a first row (without text) per range."""
     spark = docs.sparkSession
-    small_batches(spark, 512)
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))) * per_task
-    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = keyed.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10000)).first()[0] or []
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", text_key(F.col("text"))).withColumn("named", F.col("doc_id").isNotNull())
+    cuts = keyed.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10000, 100 * parts))).first()[0] or []
     cuts = sorted(set(cuts))
     arr, n = F.array(*[F.lit(c) for c in cuts]), len(cuts)
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n.bit_length())))])
-    # cuts below the id, by binary search
+    # cuts below the id, by binary search; rows without an id stand in the first range
     number = F.aggregate(steps, F.lit(0), lambda s, k: F.when(F.when(s + k <= n, F.try_element_at(arr, s + k)) < F.col("doc_id"), s + k).otherwise(s)) if cuts else F.lit(0)
-    firsts = keyed.where("doc_id IS NOT NULL").select("doc_id", number.alias("part")).groupBy("part").agg(F.min("doc_id").alias("doc_id")).orderBy("part").collect()  # one row per range
-    ranges = [r["part"] for r in firsts]
-    heads = [r["doc_id"] for r in firsts]
-    before = {heads[k]: ranges[k - 1] for k in range(len(heads))}  # the first range's head also closes the last range
-    lend = F.create_map(*[x for h, p in before.items() for x in (F.lit(h), F.lit(p))]) if before else None
-    routed = keyed.where("doc_id IS NOT NULL").withColumn("part", number)
-    if lend is not None:
-        spare = F.when(F.col("doc_id").isin(heads), F.array(F.struct(F.element_at(lend, F.col("doc_id")).alias("part"), F.lit(1).alias("spare")))).otherwise(F.array())
-        routed = routed.withColumn("to", F.explode(F.concat(F.array(F.struct(F.col("part"), F.lit(0).alias("spare"))), spare))).select("doc_id", "text", "to.part", "to.spare")
-    else:
-        routed = routed.withColumn("spare", F.lit(0))
-    dealt = routed.repartition(parts // per_task, "part").sortWithinPartitions("part", "spare", "doc_id", "text")
+    keyed = keyed.withColumn("part", number)
+    order = ["named", "doc_id", "tk"]
+    firsts = keyed.select("part", *order).groupBy("part").agg(F.min(F.struct(*order)).alias("first")).orderBy("part").collect()  # one row per range
+    if not firsts:
+        return spark.createDataFrame([], schema)
+    heads = [(*firsts[(k + 1) % len(firsts)]["first"], r["part"]) for k, r in enumerate(firsts)]
+    heads = spark.createDataFrame(heads, "h_named boolean, h_id long, h_tk long, to int")
+    is_head = (F.col("named") == F.col("h_named")) & F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tk") == F.col("h_tk"))
+    stay = F.struct("part", F.lit(0).alias("spare"))
+    to = F.when(F.col("to").isNull(), F.array(stay)).otherwise(F.array(stay, F.struct(F.col("to").alias("part"), F.lit(1).alias("spare"))))
+    routed = keyed.join(F.broadcast(heads), is_head, "left").withColumn("at", F.explode(to)).select("at.part", "at.spare", *order, "text")  # heads: one row a range
+    dealt = routed.repartitionById(len(cuts) + 1, F.col("part").cast("int")).sortWithinPartitions("spare", *order).select("spare", "doc_id", "text")
 
     def run(batches):
         import pyarrow as pa
 
         def rows():
-            for b in batches:
-                yield from zip(*(b.column(c).to_pylist() for c in ("part", "spare", "doc_id", "text")))
+            for b in sliced(batches):
+                yield from zip(*(b.column(c).to_pylist() for c in ("spare", "doc_id", "text")))
 
         for chunk in work(rows()):
-            yield pa.RecordBatch.from_pydict(chunk) if isinstance(chunk, dict) else chunk
+            yield pa.RecordBatch.from_pydict(chunk)
 
     return dealt.mapInArrow(run, schema)
 
@@ -204,32 +245,28 @@ FP_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, its edited text's, and the likenesses."""
 
+    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
     def work(rows):
-        out: dict[str, list] = {}
-
-        def emit(doc_id, text, node, nxt_text, nxt):
-            e = edited(text, nxt_text)
-            other = node if e == text else Node(tree(e))
-            for k, v in zip(
-                ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"),
-                (doc_id, len(text), hashlib.sha256(e.encode()).hexdigest(), node.text, other.text, likeness(node, other), likeness(node, nxt)),
-            ):
-                out.setdefault(k, []).append(v)
-
-        held = None  # (part, doc_id, text, node) waiting for its successor
-        for part, spare, doc_id, text in rows:
-            if held and held[0] == part:
-                if held[4]:  # rows after a spare's first are copies of it under the same id
-                    continue
-                node = held[3] if text == held[2] else Node(tree(text))
-                emit(held[1], held[2], held[3], text, node)
-            else:
-                node = Node(tree(text))
-            held = (part, doc_id, text, node, spare)
-            if len(out.get("doc_id", ())) >= 512:
-                yield out
-                out.clear()
-        if out:
+        out: dict[str, list] = {k: [] for k in names}
+        size, held, over = 0, None, False  # held: (doc_id, text, node) waiting for its successor
+        for spare, doc_id, text in rows:
+            if over:
+                continue
+            node = held[2] if held and text == held[1] else Node(text)
+            if held:
+                e = edited(held[1], text)
+                other = held[2] if e == held[1] else Node(e, held[2], node)
+                row = (held[0], len(held[1]), hashlib.sha256(e.encode()).hexdigest(), held[2].text, other.text, likeness(held[2], other), likeness(held[2], node))
+                for k, v in zip(names, row):
+                    out[k].append(v)
+                size += len(row[3]) + len(row[4])
+                if size > 1 << 22:
+                    yield out
+                    out, size = {k: [] for k in names}, 0
+            # a spare ends the range; further ones are copies of it
+            held, over = (None, True) if spare else ((doc_id, text, node), False)
+        if out["doc_id"]:
             yield out
 
     return in_order(docs, work, FP_SCHEMA)
@@ -237,3 +274,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def op6_merkle(spark, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def merkle_edits(spark, sf_dir: str) -> DataFrame:
+    """What of op6_merkle SQL can express: the lengths and the edited texts."""
+    return op6_merkle(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS other
+ FROM documents WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, n AS n_chars, sha256(substr(t, 1, n - n // 4) || substr(other, 1, n // 4)) AS edited_sha256 FROM d
+"""
