@@ -185,58 +185,68 @@ class Scanner:
                         self._stretch(name, tw, counts, ws, places, at, a, found)
                         at = b
         found.sort(key=lambda f: (-f[3] * f[4], -f[3], -f[4], f[0], f[1]))
-        kept: list = []
+        kept: list = []  # disjoint, by (start, end)
         for f in found:
-            if all(f[2] <= g[1] or f[1] >= g[2] for g in kept):
-                kept.append(f)
-        return [f[:4] for f in sorted(kept, key=lambda f: (f[1], f[0]))]
+            k = bisect_left(kept, (f[1], f[2]))
+            if (k == 0 or kept[k - 1][1] <= f[1]) and (k == len(kept) or f[2] <= kept[k][0]):
+                kept.insert(k, (f[1], f[2], f[0], f[3]))
+        return [(name, a, b, share) for a, b, name, share in kept]
 
     def _stretch(self, name, tw, counts, ws, places, lo, hi, found) -> list[tuple[int, int]]:
         """Align one stretch; what it covers is taken and the rest of the stretch looked at again. Gives what it took."""
-        todo, took = [(lo, hi)], []
+        todo, took, need = [(lo, hi)], [], self.coverage * len(tw)
         while todo:
             lo, hi = todo.pop()
-            part = ws[lo:hi]
-            have = Counter(w for w in part if w in counts)
-            if sum(min(n, have[w]) for w, n in counts.items()) < self.coverage * len(tw):
-                continue
-            first, pairs = 0, joined(align(tw, part), len(tw))
-            if len(pairs) < self.coverage * len(tw):
+            pairs = []
+            if hi - lo <= 4 * len(tw) + SLACK:
+                part = ws[lo:hi]
+                have = Counter(w for w in part if w in counts)
+                if sum(min(n, have[w]) for w, n in counts.items()) < need:
+                    continue
+                first, pairs = lo, [(t, lo + j) for t, j in joined(align(tw, part), len(tw))]
+            if len(pairs) < need:
                 # repeated words hide the anchors: look at each place where the template can begin
-                first, pairs = self._place(tw, counts, part)
-                if len(pairs) < self.coverage * len(tw):
+                first, pairs = self._place(tw, counts, ws, lo, hi)
+                if len(pairs) < need:
                     continue
             a, b = pairs[0][1], pairs[-1][1] + 1
-            found.append((name, places[lo + a][0], places[lo + b - 1][1], round(len(pairs) / len(tw), 4), len(tw)))
-            took.append((lo + a, lo + b))
-            todo += [(lo + first, lo + a), (lo + b, hi)]
+            found.append((name, places[a][0], places[b - 1][1], round(len(pairs) / len(tw), 4), len(tw)))
+            took.append((a, b))
+            todo += [(first, a), (b, hi)]
         return took
 
-    def _place(self, tw, counts, part) -> tuple[int, list[tuple[int, int]]]:
-        """The best alignment near the first start that covers enough, and that start; windows whose words cannot
-        reach the coverage are passed over, and no start before the first has to be looked at again."""
-        need = self.coverage * len(tw)
-        for width in (len(tw) + SLACK, 2 * len(tw) + SLACK):  # without and with a long insertion
-            have, bound, best, score, first, end = Counter(), 0, [], 0, None, 0
-            for i, w in enumerate(part):
-                if first is not None and i > first + width:
-                    break
-                while end < len(part) and end < i + width:
-                    x, end = part[end], end + 1
-                    have[x] += 1
-                    bound += have[x] <= counts.get(x, 0)
-                if w in counts and bound >= need and score < len(tw):
-                    pairs = joined(align(tw, part[i : i + width]), len(tw))
-                    if len(pairs) >= need:
-                        first = i if first is None else first
-                        # foreign words inside count against it, so it takes no words of the next copy
-                        if (tight := 2 * len(pairs) - (pairs[-1][1] + 1 - pairs[0][1])) > score or not best:
-                            score, best = tight, [(t, j + i) for t, j in pairs]
-                bound -= have[w] <= counts.get(w, 0)
-                have[w] -= 1
-            if best:
-                return first, best
-        return 0, []
+    def _place(self, tw, counts, ws, lo, hi) -> tuple[int, list[tuple[int, int]]]:
+        """The best alignment near the first start from ``lo`` on that covers enough, and that start. Two windows slide
+        along, without and with a long insertion, and a start is passed over if their words cannot reach the coverage;
+        no start before the first has to be looked at again, and nothing far behind it is, so a stretch of many copies
+        costs one pass."""
+        need, widths = self.coverage * len(tw), (len(tw) + SLACK, 2 * len(tw) + SLACK)
+        have, bound, end = [Counter(), Counter()], [0, 0], [lo, lo]
+        best, score, first = [], 0, None
+        for i in range(lo, hi):
+            if first is not None and i > first + widths[0]:
+                break
+            w = ws[i]
+            for k, width in enumerate(widths):
+                while end[k] < hi and end[k] < i + width:
+                    x, end[k] = ws[end[k]], end[k] + 1
+                    if x in counts:
+                        have[k][x] += 1
+                        bound[k] += have[k][x] <= counts[x]
+            if w in counts:
+                for k, width in enumerate(widths):
+                    if bound[k] >= need and score < len(tw):
+                        pairs = joined(align(tw, ws[i : min(i + width, hi)]), len(tw))
+                        if len(pairs) >= need:
+                            first = i if first is None else first
+                            # foreign words inside count against it, so it takes no words of the next copy
+                            if (tight := 2 * len(pairs) - (pairs[-1][1] + 1 - pairs[0][1])) > score or not best:
+                                score, best = tight, [(t, j + i) for t, j in pairs]
+                            break
+                for k in range(2):
+                    bound[k] -= have[k][w] <= counts[w]
+                    have[k][w] -= 1
+        return (lo if first is None else first), best
 
 
 _SCANNER: list[Scanner] = []
