@@ -36,13 +36,27 @@ def test_licenses_long_insertion():
         assert name not in [f[0] for f in s.scan(" ".join(tw[:half] + ["zzz"] * (len(tw) + 9) + tw[half:]))]
 
 
-def test_toxicity_never_cuts_features_silently(spark):
-    rows = [(i, ("alpha bravo charlie" if i % 2 else "delta foxtrot golf"), i % 2) for i in range(200)]
+def test_toxicity_scores_alike_by_broadcast_and_join(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("alpha bravo charlie delta nasty vilest echo".split()) for _ in range(30)) for _ in range(120)]
+    rows = [(i, t, int(t.count("nasty") > 5)) for i, t in enumerate(texts)] + [(500, None, 0), (501, "", 0), (502, texts[0], 0)]
     labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    n = len(toxicity.train(labelled))
-    assert n > 2 and len(toxicity.train(labelled, n)) == n
-    with pytest.raises(ValueError):
-        toxicity.train(labelled, n - 1)
+    model = toxicity.train(labelled)
+    assert model.count() > 1
+    held = {x["feature"]: x["s"] for x in model.collect()}
+    want = sorted((i, *map(str, toxicity.found_in(t or "", held))) for i, t, _ in rows)
+    for limit in (10**6, 0):
+        got = toxicity.scan(labelled, model, limit).collect()
+        assert sorted((g["doc_id"], str(g["n"]), str([tuple(x) for x in g["found"]])) for g in got) == want
+
+
+def test_extreme_values_follow_the_tail(spark):
+    r = np.random.default_rng(4)
+    rows = [(1000, [(0, 1, float(x)) for x in r.exponential(1 / 0.7, 12)]) for _ in range(400)]
+    df = spark.createDataFrame(rows, f"n long, found {toxicity.SEGMENTS}")
+    rate, k = toxicity.extreme_values(df)
+    assert abs(rate - 0.7) < 0.03 and abs(k - 0.012) < 0.0003
+    assert toxicity.extreme_values(df.limit(0)) == (1.0, 1 / toxicity.CHANCE)
 
 
 def test_langid_keeps_a_small_share_of_a_long_document():

@@ -11,18 +11,23 @@ that look toxic by luck.
 
 Scan: a token scores the strongest of its features less ``DRIFT``, so leanings of common words make no
 passage and the expected score is negative. The linear-time all-maximal-segments scan finds every maximal-scoring segment
-(toxic passage); significance follows from extreme-value theory: with Karlin-Altschul
-lambda = 1 (scores are log-odds), a text of n tokens has ``E = K n exp(-S)`` chance segments as good as
-S. The document statistic is the sum over segments of max(0, S - log(K n)) - evidence beyond what
-chance gives the text's length - and is mapped to a probability by a logistic curve.
+of a text. Extreme-value calibration: among texts that are not toxic, a text of n tokens has about
+``E = K n exp(-lambda S)`` segments as good as S. lambda and K are estimated from all segments of all clean training
+rows: the scores' tail is exponential (its rate, lambda, by maximum likelihood) and K is the number of segments a token;
+both start from one segment of score 1 in ``CHANCE`` tokens, so they exist without any segment. A segment is
+significant (a toxic passage) if E < 1, and every one is reported with its E-value. A text's statistic is -log of the
+chance ``1 - exp(-E)`` (the extreme-value distribution) that a clean text of its length holds a segment as good as its
+best, and is mapped to a probability by a logistic curve.
 
 The curve is fitted on at most ``CALIBRATION_ROWS`` labelled training rows (by hash order, documented
-bound); the counts use all rows. More than ``VOCABULARY`` significant features
-raise an error (model size, bounded for broadcast); none is cut.
+bound); all counts use all rows. The model holds every feature that passes the likelihood-ratio test. Up to
+``VOCABULARY`` of them are broadcast; a larger model is joined with the texts' features instead, which gives the
+same scores.
 
 Edge cases: null and empty texts have no segments and get the curve's base rate; unlabelled rows are
 scored; a label table with one class only, or empty, gives every document the smoothed base rate; several labels
-of one doc_id count as toxic if any is; repeated rows score alike; very long texts are scanned whole.
+of one doc_id count as toxic if any is; labels without a doc_id are left out; rows sharing an id share its label;
+repeated rows score alike; very long texts are scanned whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,16 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import arrow_map, fold, sifted, sliced, stage, table
+from weft.llm.common import arrow_map, fold, release, sifted, sliced, stage, table
 
 PREFIX = 5
 PRIOR = 20.0
 Z = 1.0
 DRIFT = 0.5
-K = 0.02
+CHANCE = 50.0
 VOCABULARY = 100_000
 CALIBRATION_ROWS = 50_000
-LEAST_DOCS = 4
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -66,9 +70,7 @@ def count_features(labelled: DataFrame) -> DataFrame:
 
         for b in sliced(batches):
             for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                words = set(tokens(t or ""))
-                words |= {w[:PREFIX] + "*" for w in words if len(w) > PREFIX}
-                for w in words:
+                for w in features(t or ""):
                     c = sums.get(w)
                     if c is None:
                         c = sums[w] = [0, 0]
@@ -81,16 +83,21 @@ def count_features(labelled: DataFrame) -> DataFrame:
     return part.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def train(labelled: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, float]:
-    """feature -> score, from rows of (doc_id, text, toxic 0/1)."""
+def features(text: str) -> set[str]:
+    """A text's words, and of longer ones their leading ``PREFIX`` characters, marked."""
+    words = set(tokens(text))
+    return words | {w[:PREFIX] + "*" for w in words if len(w) > PREFIX}
+
+
+def train(labelled: DataFrame) -> DataFrame:
+    """(feature, s): the scores of all significant features, from rows of (text, toxic 0/1)."""
+    spark = labelled.sparkSession
     n = labelled.agg(F.sum("toxic"), F.count("*")).first()
     bad, good = int(n[0] or 0), int((n[1] or 0) - (n[0] or 0))
-    if not bad or not good:
-        return {}
-    counts = stage(count_features(labelled).where(F.col("bad") + F.col("good") >= LEAST_DOCS), "toxic-features")
-    size, in_bad, in_good = counts.agg(F.count("*"), F.sum("bad"), F.sum("good")).first()
+    counts = stage(count_features(labelled), "toxic-features") if bad and good else None
+    size, in_bad, in_good = counts.agg(F.count("*"), F.sum("bad"), F.sum("good")).first() if bad and good else (0, 0, 0)
     if not in_bad or not in_good:
-        return {}
+        return spark.createDataFrame([], "feature string, s double")
     chance, held, pairs = 2 * math.log(max(size, 2)), F.col("bad") + F.col("good"), float(in_bad + in_good)
 
     def term(seen, total, rate):
@@ -98,16 +105,14 @@ def train(labelled: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, float]
 
     rate, rest = held / pairs, 1 - held / pairs
     ratio = term(F.col("bad"), in_bad, rate) + term(F.col("good"), in_good, rate) + term(in_bad - F.col("bad"), in_bad, rest) + term(in_good - F.col("good"), in_good, rest)
-    counts = counts.where(2 * ratio > chance)
     prior = PRIOR * held / float(bad + good)
     share = lambda c, total: F.log((F.col(c) + prior) / F.lit(total + PRIOR * pairs / (bad + good)))
     delta = share("bad", in_bad) - share("good", in_good)
     err = F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior))
-    scored = counts.select("feature", F.when(delta > 0, F.greatest(F.lit(0.0), delta - Z * err)).otherwise(F.least(F.lit(0.0), delta + Z * err)).alias("s")).where("abs(s) > 0.1")
-    top = scored.orderBy(F.abs("s").desc(), "feature").limit(vocabulary + 1).collect()
-    if len(top) > vocabulary:
-        raise ValueError(f"more than {vocabulary} significant features in the labelled rows")
-    return {r["feature"]: r["s"] for r in top}
+    s = F.when(delta > 0, F.greatest(F.lit(0.0), delta - Z * err)).otherwise(F.least(F.lit(0.0), delta + Z * err))
+    out = stage(counts.where(2 * ratio > chance).select("feature", s.alias("s")).where("s <> 0"), "toxic-model")
+    release(counts)
+    return out
 
 
 def token_scores(words: list[str], model: dict[str, float]) -> list[float]:
@@ -144,29 +149,55 @@ def segments(scores) -> list[tuple[int, int, float]]:
     return [(r[0], r[1], r[3] - r[2]) for r in runs]
 
 
-def passages(text: str, model: dict[str, float], least: float = 0.0):
-    """(number of tokens, significant segments) of a text; a segment's score is net of log(K n)."""
+def found_in(text: str, model: dict[str, float]):
+    """(number of tokens, all maximal segments) of a text."""
     words = tokens(text)
-    floor = math.log(max(K * len(words), 1.0))
-    found = segments(token_scores(words, model)) if words else []
-    return len(words), [(lo, hi, s - floor) for lo, hi, s in found if s - floor > least]
+    return len(words), segments(token_scores(words, model)) if words else []
+
+
+SEGMENTS = "array<struct<lo:int,hi:int,s:double>>"
+
+
+def scan(docs: DataFrame, model: DataFrame, limit: int = VOCABULARY) -> DataFrame:
+    """(doc_id, n, found) of rows (doc_id, text): tokens and maximal segments."""
+
+    def rows(batch, models):
+        got = [found_in(t, m) if t else (0, []) for t, m in zip(batch.column("text").to_pylist(), models)]
+        return {"doc_id": batch.column("doc_id"), "n": [g[0] for g in got], "found": [[{"lo": a, "hi": b, "s": s} for a, b, s in g[1]] for g in got]}
+
+    schema = f"doc_id long, n long, found {SEGMENTS}"
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if model.count() <= limit:
+        shared = docs.sparkSession.sparkContext.broadcast({r["feature"]: r["s"] for r in model.collect()})  # at most `limit` features
+        return arrow_map(docs, lambda batch: rows(batch, [shared.value] * batch.num_rows), schema)
+
+    # each text gets its own part of the model; equal texts share it
+    keyed = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+
+    def split(batch):
+        held = [(sha, f) for sha, t in zip(batch.column("sha").to_pylist(), batch.column("text").to_pylist()) for f in features(t or "")]
+        return {"sha": [h[0] for h in held], "feature": [h[1] for h in held]}
+
+    own = arrow_map(keyed, split, "sha string, feature string").distinct().join(model, "feature")
+    own = own.groupBy("sha").agg(F.collect_list(F.struct("feature", "s")).alias("own"))  # no more than a text's features
+    return arrow_map(keyed.join(own, "sha", "left").select("doc_id", "text", "own"), lambda batch: rows(batch, [{x["feature"]: x["s"] for x in o or ()} for o in batch.column("own").to_pylist()]), schema)
 
 
-def evidence(docs: DataFrame, model: dict[str, float]) -> DataFrame:
-    """(doc_id, x, n_passages, passages): x is the evidence summed over significant passages."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY features
+def extreme_values(clean: DataFrame) -> tuple[float, float]:
+    """(lambda, K) from the rows (n, found) of clean training texts."""
+    sums = F.aggregate("found", F.lit(0.0), lambda a, x: a + x["s"])
+    n, many, total = clean.agg(F.sum("n"), F.sum(F.size("found")), F.sum(sums)).first()
+    return ((many or 0) + 1.0) / ((total or 0.0) + 1.0), ((many or 0) + 1.0) / ((n or 0) + CHANCE)
 
-    def work(batch):
-        m = shared.value
-        found = [passages(t or "", m)[1] if t else [] for t in batch.column("text").to_pylist()]
-        return {
-            "doc_id": batch.column("doc_id"),
-            "x": [math.fsum(s for *_, s in f) for f in found],
-            "n_passages": [len(f) for f in found],
-            "passages": [",".join(f"{lo}:{hi}:{s:.2f}" for lo, hi, s in f) for f in found],
-        }
 
-    return arrow_map(docs.select("doc_id", "text"), work, "doc_id long, x double, n_passages long, passages string")
+def evidence(found: DataFrame, rate: float, k: float, *others: str) -> DataFrame:
+    """(doc_id, x, n_passages, passages): passages are the found segments with E < 1, each with its E-value."""
+    chance = lambda s: F.greatest(F.lit(k) * F.col("n") * F.exp(-F.lit(rate) * s), F.lit(1e-300))
+    best = F.aggregate("found", F.lit(0.0), lambda a, x: F.greatest(a, x["s"]))
+    shown = F.transform("real", lambda x: F.format_string("%d:%d:%.1e", x["lo"], x["hi"], chance(x["s"])))
+    out = found.withColumn("real", F.filter("found", lambda x: chance(x["s"]) < 1))
+    x = F.when(F.size("found") > 0, -F.log(-F.expm1(-chance(best)))).otherwise(F.lit(0.0))
+    return out.select("doc_id", x.alias("x"), F.size("real").cast("long").alias("n_passages"), F.array_join(shown, ",").alias("passages"), *others)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50):
@@ -189,14 +220,18 @@ def score(docs: DataFrame, labelled_ids: DataFrame) -> DataFrame:
     """docs (doc_id, text) scored by a model learned from ``labelled_ids`` (doc_id, toxic)."""
     flags = labelled_ids.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # labels grow with the corpus: never broadcast; only texts that have a label are shuffled
-    labelled = sifted(docs.select("doc_id", "text"), flags).join(flags.hint("shuffle_hash"), "doc_id")
+    labelled = sifted(docs.select("doc_id", "text"), flags, "doc_id").join(flags.hint("shuffle_hash"), "doc_id")
     model = train(labelled)
-    found = stage(evidence(docs, model), "toxic")
-    known = found.join(flags, "doc_id").select("x", "toxic", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    pairs = known.select("x", "toxic").toPandas()
+    found = stage(scan(docs, model), "toxic")
+    if hasattr(model, "staged_at"):
+        release(model)
+    known = found.join(flags, "doc_id")
+    tail = extreme_values(known.where("toxic = 0"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "n").limit(CALIBRATION_ROWS)
+    pairs = evidence(sample, *tail, "toxic").select("x", "toxic").toPandas()
     a, b = calibrate(pairs["x"].to_numpy(float), pairs["toxic"].to_numpy(float))
     p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p(F.greatest("x", F.lit(0.0))))))
-    return found.select("doc_id", p.alias("score"), "n_passages", "passages")
+    return evidence(found, *tail).select("doc_id", p.alias("score"), "n_passages", "passages")
 
 
 THRESHOLD = 0.3
@@ -207,7 +242,7 @@ def op7_max_segments(spark, sf_dir: str) -> DataFrame:
     out = score(docs, labels.where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "toxic"))
     return out.select(
         "doc_id",
-        (fold(F.col("doc_id"), 4) == 2).alias("held_out"),
+        F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
         "n_passages",
