@@ -8,13 +8,15 @@ likelihood exceeds ``penalty`` x log(number of trigrams). The prediction is the
 and the score that proportion.
 
 Training counts hashed trigrams of every labelled training document (no sample); each task emits one
-dense count vector per language, so the shuffle is languages x buckets per task, and the model (at most
-``max_languages`` x ``buckets`` floats, checked) is shipped to the tasks. Texts are read whole, once per
+dense count vector per language, so the shuffle is languages x buckets per task, and the model, languages x buckets
+floats, is shipped to the tasks. It never exceeds ``MODEL_BYTES``: with more than 512 languages there are fewer buckets,
+for all languages alike (down to ``LEAST_BUCKETS``; over 32,768 languages are an error). Texts are read whole, once per
 pass, with no shuffle of text.
 
 Edge cases: null text or text without a letter gives ``und`` with score 0; with no training labels
 everything is ``und``; ties go to the language first in code-point order; null lang rows never train but
-are predicted; repeated rows are predicted alike; extra columns are ignored.
+are predicted, and so are rows without a doc_id, which train; repeated rows are predicted alike; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import arrow_map, fold, sliced, table
 
 BUCKETS = 1 << 14
-MAX_LANGUAGES = 512
+LEAST_BUCKETS = 1 << 8
+MODEL_BYTES = 64 << 20
 PENALTY = 1.0
 UNDETERMINED = "und"
 
@@ -61,11 +65,16 @@ def features(text: str, buckets: int = BUCKETS):
     return ids, counts[ids].astype(np.float64)
 
 
-def train(docs: DataFrame, buckets: int = BUCKETS, max_languages: int = MAX_LANGUAGES):
+def train(docs: DataFrame, buckets: int = BUCKETS, model_bytes: int = MODEL_BYTES):
     """(languages, languages x buckets probabilities) from all rows of (text, lang)."""
-    def count(batches):
-        import pyarrow as pa
+    named = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").cast("string"))
+    languages = named.select("lang").distinct().count()
+    while languages * buckets * 8 > model_bytes and buckets > LEAST_BUCKETS:
+        buckets //= 2
+    if languages * buckets * 8 > model_bytes:
+        raise ValueError(f"{languages} languages: a model of them exceeds {model_bytes} bytes")
 
+    def count(batches):
         sums: dict[str, np.ndarray] = {}
         for b in sliced(batches):
             for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
@@ -77,12 +86,9 @@ def train(docs: DataFrame, buckets: int = BUCKETS, max_languages: int = MAX_LANG
             ids = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids)), pa.array(ids, pa.int32()), pa.array(s[ids])], names=["lang", "bucket", "n"])
 
-    named = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").cast("string"))
     totals = named.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     packed = totals.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("v"))  # at most `buckets` entries each
-    rows = packed.orderBy("lang").limit(max_languages + 1).collect()
-    if len(rows) > max_languages:
-        raise ValueError(f"more than {max_languages} languages in the training rows")
+    rows = packed.orderBy("lang").collect()  # no more than MODEL_BYTES
     theta = np.zeros((len(rows), buckets))
     for i, r in enumerate(rows):
         theta[i, [x[0] for x in r["v"]]] = [x[1] for x in r["v"]]
@@ -131,25 +137,42 @@ def infer(f, theta: np.ndarray, penalty: float = PENALTY):
     return [chosen[i] for i in rank], [float(share[i]) for i in rank]
 
 
+def _classified(batch, model, penalty: float) -> tuple[list[str], list[float], list[str]]:
+    """Per text of a batch the language, its share and the mixture (lang:share of the chosen set)."""
+    names, theta = model
+    best, score, mixture = [], [], []
+    for t in batch.column("text").to_pylist():
+        f = features(t, theta.shape[1]) if t and names else None
+        if f is None:
+            best.append(UNDETERMINED), score.append(0.0), mixture.append("")
+            continue
+        who, share = infer(f, theta, penalty)
+        best.append(names[who[0]]), score.append(min(1.0, share[0]))
+        mixture.append(",".join(f"{names[w]}:{s:.3f}" for w, s in zip(who, share)))
+    return best, score, mixture
+
+
 def predict(docs: DataFrame, model, penalty: float = PENALTY) -> DataFrame:
-    """(doc_id, text) -> (doc_id, lang_pred, score, mixture): mixture lists lang:share of the chosen set."""
-    langs, theta = model
-    shared = docs.sparkSession.sparkContext.broadcast((langs, theta))  # languages x buckets, checked in train()
+    """(doc_id, text) -> (doc_id, lang_pred, score, mixture)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded in train()
 
     def work(batch):
-        names, th = shared.value
-        best, score, mixture = [], [], []
-        for t in batch.column("text").to_pylist():
-            f = features(t, th.shape[1]) if t and names else None
-            if f is None:
-                best.append(UNDETERMINED), score.append(0.0), mixture.append("")
-                continue
-            who, share = infer(f, th, penalty)
-            best.append(names[who[0]]), score.append(min(1.0, share[0]))
-            mixture.append(",".join(f"{names[w]}:{s:.3f}" for w, s in zip(who, share)))
+        best, score, mixture = _classified(batch, shared.value, penalty)
         return {"doc_id": batch.column("doc_id"), "lang_pred": best, "score": score, "mixture": mixture}
 
-    return arrow_map(docs.select("doc_id", "text"), work, "doc_id long, lang_pred string, score double, mixture string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, lang_pred string, score double, mixture string")
+
+
+def determined(docs: DataFrame, model, least: float, penalty: float = PENALTY) -> DataFrame:
+    """The rows, whole, whose text has a language that holds at least the share ``least`` of it."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches):
+        for b in sliced(batches):
+            best, score, _ = _classified(b, shared.value, penalty)
+            yield b.filter(pa.array([name != UNDETERMINED and s >= least for name, s in zip(best, score)]))
+
+    return docs.mapInArrow(work, docs.schema)
 
 
 HELD_OUT = 1
@@ -157,10 +180,10 @@ HELD_OUT = 1
 
 def learn(docs: DataFrame):
     """The contract's training fold: crc32(doc_id) mod 3 is not 1."""
-    return train(docs.where(fold(F.col("doc_id"), 3) != HELD_OUT))
+    return train(docs.where(F.coalesce(fold(F.col("doc_id"), 3), F.lit(0)) != HELD_OUT))
 
 
 def op3_mixture_langid(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = predict(docs, learn(docs))
-    return out.select("doc_id", (fold(F.col("doc_id"), 3) == HELD_OUT).alias("held_out"), "lang_pred", "score", "mixture")
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score", "mixture")
