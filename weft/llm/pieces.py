@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ TEMPERATURE = 1.0
 SEED = 20240607
 SLICE_CHARS = 500_000  # characters whose lattice is in memory at a time (a longer text is one slice)
 DENSE = 128
+MODEL_BYTES = 16 << 20
 
 
 def _order(values: np.ndarray) -> np.ndarray:
@@ -48,10 +50,10 @@ def _order(values: np.ndarray) -> np.ndarray:
 class Codec:
     """The vocabulary as a trie over character classes, and the two passes, vectorised over a slice."""
 
-    def __init__(self, path: str = MODEL, temperature: float = TEMPERATURE):
+    def __init__(self, model: bytes, temperature: float = TEMPERATURE):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         forms: list[bytes] = [b""] * n
         self.byte_ids = np.zeros(256, np.int64)
@@ -294,21 +296,31 @@ class Codec:
         return self.decode_all(np.array([len(ids)]), ids)[0].decode("utf-8", "surrogatepass")
 
 
+def load(path: str = MODEL) -> bytes:
+    """A vocabulary file, read by the driver; tasks get its bytes, so executors need no such file."""
+    if os.path.getsize(path) > MODEL_BYTES:
+        raise ValueError(f"{path} is larger than {MODEL_BYTES} bytes")
+    with open(path, "rb") as f:
+        return f.read()
+
+
 _CODECS: dict[tuple, Codec] = {}
 
 
-def codec(path: str, temperature: float) -> Codec:
-    if (path, temperature) not in _CODECS:
-        _CODECS[path, temperature] = Codec(path, temperature)
-    return _CODECS[path, temperature]
+def codec(model: bytes, temperature: float) -> Codec:
+    key = hashlib.sha256(model).digest(), temperature
+    if key not in _CODECS:
+        _CODECS[key] = Codec(model, temperature)
+    return _CODECS[key]
 
 
 def encode(docs: DataFrame, key: str = "doc_id", path: str = MODEL, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """(key, text) -> (key, ids, n_tokens, ids_sha256, lossless): sampled pieces, and whether decoding
     gave the text back."""
+    model = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def work(batch):
-        c = codec(path, temperature)
+        c = codec(model.value, temperature)
         raw = batch.column("text").to_pylist()
         counts, ids = c.encode([t or "" for t in raw], [k or 0 for k in batch.column(key).to_pylist()], seed)
         ends = np.cumsum(counts)
@@ -324,14 +336,15 @@ def encode(docs: DataFrame, key: str = "doc_id", path: str = MODEL, temperature:
             "lossless": [x == (t or "").encode() for x, t in zip(back, raw)],
         }
 
-    return arrow_map(docs.select(F.col(key).cast("long").alias(key), "text"), work, f"{key} long, ids array<int>, n_tokens long, ids_sha256 string, lossless boolean", rows=512)
+    return arrow_map(docs.select(F.col(key).cast("long").alias(key), "text"), work, f"{key} long, ids array<int>, n_tokens long, ids_sha256 string, lossless boolean")
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", path: str = MODEL) -> DataFrame:
     """(key, ids) -> (key, text)."""
+    model = encoded.sparkSession.sparkContext.broadcast(load(path))
 
     def work(batch):
-        c = codec(path, TEMPERATURE)
+        c = codec(model.value, TEMPERATURE)
         return {key: batch.column(key), "text": [None if v is None else c.decode(v) for v in batch.column("ids").to_pylist()]}
 
     return arrow_map(encoded.select(key, "ids"), work, f"{key} long, text string")
