@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import WORD_SPACE, stage
+from weft.llm.common import WORD_SPACE, stage, text_key
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -67,10 +67,11 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, budget=BUDGET, cap=CAP, se
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, cap=CAP, seed=SEED) -> DataFrame:
-    """(row id, doc_id, size, source_size, target, copies): the number of times each document is emitted."""
+    """(doc_id, source, size, source_size, target, copies, tk): the number of times each document is emitted; tk is its
+    text's key."""
     src = F.col("source").cast("string")
     narrow = docs.select(
-        "doc_id", src.isNull().cast("int").alias("no_source"), F.coalesce(src, F.lit("")).alias("src"), word_count(F.col("text")).alias("size")
+        "doc_id", text_key(F.col("text")).alias("tk"), src.isNull().cast("int").alias("no_source"), F.coalesce(src, F.lit("")).alias("src"), word_count(F.col("text")).alias("size")
     )
     sized = stage(narrow, "mix")
     rows = sized.count()
@@ -82,14 +83,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, cap=CAP, seed=SEED) ->
     groups = keyed.groupBy(*group).agg(F.count("*").alias("members"))
     groups = groups.withColumn("base", F.coalesce(F.sum("members").over(ahead), F.lit(0))).drop("members")
     groups = groups.join(source_targets(sized, weights, budget, cap, seed), ["no_source", "src"])
-    ranked = keyed.withColumn("inner_rank", F.row_number().over(Window.partitionBy(*group).orderBy("size", "doc_id")))
+    ranked = keyed.withColumn("inner_rank", F.row_number().over(Window.partitionBy(*group).orderBy("size", "doc_id", "tk")))
     at = (F.col("base") + F.col("inner_rank")).cast("double")
     cross = lambda k: F.floor(k * F.col("rate") + F.col("shift"))
     return ranked.join(groups, group).select(
-        "doc_id", F.when(F.col("no_source") == 0, F.col("src")).alias("source"), "size", "source_size", "target", (cross(at) - cross(at - 1)).cast("long").alias("copies")
+        "doc_id", F.when(F.col("no_source") == 0, F.col("src")).alias("source"), "size", "source_size", "target", (cross(at) - cross(at - 1)).cast("long").alias("copies"), "tk"
     )
 
 
+def emitted(docs: DataFrame, **settings) -> DataFrame:
+    """The rows, whole, each as often as the mix takes it. Rows equal in doc_id, source and text are one document,
+    taken as often as all of them."""
+    row = lambda *tk: [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src"), *tk]
+    key = ["no_id", "id", "no_source", "src", "tk"]
+    taken = mix(docs, **settings).where("copies > 0").groupBy(*row(F.col("tk"))).agg(F.sum("copies").alias("copies"))
+    keyed = docs.select("*", *row(text_key(F.col("text")).alias("tk"))).dropDuplicates(key)
+    return keyed.join(taken, key).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+
+
 def op5_systematic_mix(spark, sf_dir: str) -> DataFrame:
     from weft.llm.common import table
 

@@ -423,16 +423,32 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prof, found
 
 
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, tk, n_shingles, comp) per row: its text's key and its component by node (null for the empty set)."""
+    prof, comps = classes(docs)
+    named = prof.select("doc_id", "tk", F.col("n").alias("n_shingles"), "node").join(comps, "node", "left")
+    return stage(named.select("doc_id", "tk", "n_shingles", F.coalesce("component", "node").alias("comp")), "ngram-named")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document."""
-    prof, comps = classes(docs)
-    named = prof.select("doc_id", F.col("n").alias("n_shingles"), "node").join(comps, "node", "left")
-    named = stage(named.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("comp")), "ngram-named")
+    named = labelled(docs)
     least = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "comp", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows, whole, of one document per group: that of the smallest doc_id (none counts as largest), then of the
+    smallest text key. Rows equal in both are one document; texts without words are groups of their own."""
+    named = labelled(docs)
+    row = [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("tk")]
+    first = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(*row)).alias("row")).select("row.*")
+    kept = first.unionByName(named.where("comp IS NULL").select(*row).distinct())
+    keyed = docs.withColumn("tk", text_key(F.col("text"))).select("*", *row[:2])
+    return keyed.join(kept, ["no_id", "id", "tk"], "left_semi").dropDuplicates(["no_id", "id", "tk"]).select(*docs.columns)
+
+
 def op4_signature_trees(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
