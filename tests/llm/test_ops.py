@@ -285,7 +285,7 @@ def test_estimates_are_unbiased_and_bounded():
 
 
 def test_pieces_round_trip_and_sample(spark):
-    c = pieces.codec(pieces.MODEL, 1.0)
+    c = pieces.codec(pieces.load(), 1.0)
     odd = ["", " ", "a▁b 漢\U0001d54f\x00", "\n\n  x", "▁", "  ", "x" * 500, "Hello world, again and again", "é́​"]
     for t in odd:
         counts, ids = c.encode([t], [7])
