@@ -39,7 +39,7 @@ def test_licenses_long_insertion():
 def test_toxicity_scores_alike_by_broadcast_and_join(spark):
     r = random.Random(3)
     texts = [" ".join(r.choice("alpha bravo charlie delta nasty vilest echo".split()) for _ in range(30)) for _ in range(120)]
-    rows = [(i, t, int(t.count("nasty") > 5)) for i, t in enumerate(texts)] + [(500, None, 0), (501, "", 0), (502, texts[0], 0)]
+    rows = [(i, t if i % 3 else t.replace("nasty", "alpha").replace("vilest", "echo"), int(i % 3 > 0)) for i, t in enumerate(texts)] + [(500, None, 0), (501, "", 0), (502, texts[0], 0)]
     labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.train(labelled)
     assert model.count() > 1
