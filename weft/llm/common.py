@@ -104,17 +104,18 @@ def sieve(shared, keys: np.ndarray) -> np.ndarray:
     return (words[h >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def sifted(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """``df`` without rows that ``key_filter(keys)`` rules out (null keys go, too)."""
+def sifted(df: DataFrame, keys: DataFrame, key: str, then=None, schema=None) -> DataFrame:
+    """``df`` without rows that ``key_filter(keys)`` rules out (null keys go, too); ``then``, a function of batches, goes
+    on in the same worker."""
     shared = key_filter(keys.select(key))
 
-    def run(batches):
+    def kept(batches):
         for b in batches:
             b = b.filter(b.column(key).is_valid())
             if b.num_rows:
                 yield b.filter(pa.array(sieve(shared, b.column(key).to_numpy(zero_copy_only=False))))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(kept if then is None else lambda batches: then(kept(batches)), schema or df.schema)
 
 
 class Forest:

@@ -44,9 +44,10 @@ PERCENT = 80
 FIRST = 2
 BLOCK = 1024
 LEAF = 4
-SIG_BITS = 4
+SIG_BITS = 2  # a token, in the bitmaps that travel; trees over sets at hand use more
+TREE_BITS = 8
 LEVEL_BITS = 20  # the table of levels has 2^20 one-byte places
-WINDOW = 1 << 22  # shingles that a task counts at a time for the levels
+WINDOW = 1 << 21  # shingles that a task counts at a time for the levels
 OFTEN = 3  # documents of a window that make a shingle count as shared
 
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -268,7 +269,7 @@ def link_blocks(batches):
         for k, c in enumerate(comp.tolist()):
             forest.join(first.setdefault(c, k), k)
         side = None if low == high else np.array([int(r[0] == high) for r in rows])
-        for i, j in candidates(np.array([len(s) for s in sets], np.int64), [signature(s, 2 * SIG_BITS) for s in sets], side, comp):
+        for i, j in candidates(np.array([len(s) for s in sets], np.int64), [signature(s, TREE_BITS) for s in sets], side, comp):
             for x, y in zip(i.tolist(), j.tolist()):
                 if forest.find(x) != forest.find(y) and linked(sets[x], sets[y]):
                     forest.join(x, y)
@@ -373,8 +374,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["node", "members"])
 
-    texts = sifted(docs.select("text", text_key(F.col("text")).alias("tk")), wanted, "tk").select("text")
-    made = texts.mapInArrow(work, "node long, members binary").join(wanted.select("node"), "node", "left_semi")
+    made = sifted(docs.select("text", text_key(F.col("text")).alias("tk")), wanted, "tk", work, "node long, members binary").join(wanted.select("node"), "node", "left_semi")
     return made.groupBy("node").agg(F.first("members").alias("members"))
 
 

@@ -297,10 +297,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["sha", "anchor", "sub", "ck", "lo", "ctx"])
 
-    def once(batches):
-        return _once(batches)
-
-    few = sifted(long_texts(docs), wanted, "tk").mapInArrow(once, "text string, sha string, tk long").select("sha", "text")
+    few = sifted(long_texts(docs), wanted, "tk", _once).select("sha", "text")
     cuts = stage(few.join(wanted.select("sha", "live", "hot"), "sha").select("sha", "text", "live", "hot").mapInArrow(cut, "sha string, anchor long, sub long, ck long, lo long, ctx binary"), "suffix-contexts")
     unique = cuts.groupBy("anchor", "sub", "ck", "ctx").agg(F.count("*").alias("copies"))
     shards = unique.repartition(parts * 4, *SHARD).sortWithinPartitions(*SHARD).mapInArrow(scan_shard, "anchor long, sub long, ck long, found array<int>")
