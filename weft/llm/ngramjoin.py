@@ -48,7 +48,7 @@ SIG_BITS = 2  # a token, in the bitmaps that travel; trees over sets at hand use
 TREE_BITS = 8
 LEVEL_BITS = 20  # the table of levels has 2^20 one-byte places
 WINDOW = 1 << 21  # shingles that a task counts at a time for the levels
-OFTEN = 3  # documents of a window that make a shingle count as shared
+OFTEN = 2  # documents of a window that make a shingle count as shared
 
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
