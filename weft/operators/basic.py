@@ -117,3 +117,33 @@ def typed(attrs: Column, names: list[str], defaults: dict[str, str] | None = Non
             value = F.coalesce(value, F.lit(defaults[name]))
         out.append(value.try_cast(ATTR_TYPES[name]).alias(name) if name in ATTR_TYPES else value.alias(name))
     return out
+
+
+def object_kinds(names: DataFrame, nodes: DataFrame, subs: DataFrame) -> DataFrame:
+    """(name, kind): what names(name) stand for - node, subgraph or nothing (null)."""
+    kinds = nodes.select("name", F.lit("node").alias("kind")).unionByName(subs.select(F.col("sub_id").alias("name"), F.lit("subgraph").alias("kind")))
+    return names.select("name").join(kinds, "name", "left")
+
+
+def contains(pairs: DataFrame, subs: DataFrame, members: DataFrame) -> DataFrame:
+    """(sub_id, name, held, direct) of pairs(sub_id, name): whether the subgraph holds the node, itself or below it."""
+    held = members.join(subs.select("sub_id", "path"), "sub_id").select(F.explode("path").alias("sub_id"), "name", F.element_at("path", -1).alias("home"))
+    held = held.groupBy("sub_id", "name").agg(F.bool_or(F.col("sub_id") == F.col("home")).alias("direct"), F.lit(True).alias("held"))
+    return pairs.join(held, ["sub_id", "name"], "left").select("sub_id", "name", F.coalesce("held", F.lit(False)).alias("held"), F.coalesce("direct", F.lit(False)).alias("direct"))
+
+
+def parents(subs: DataFrame, root: str) -> DataFrame:
+    """(sub_id, parent, root): the enclosing subgraph (the root's name where there is none) and the root."""
+    return subs.select("sub_id", F.coalesce("parent_sub", F.lit(root)).alias("parent"), F.lit(root).alias("root"))
+
+
+def before(pairs: DataFrame, order: DataFrame) -> DataFrame:
+    """(a, b, before): whether node a was inserted before b, by order(name, seq)."""
+    at = lambda c: order.select(F.col("name").alias(c), F.col("seq").alias(f"seq_{c}"))
+    return pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", (F.col("seq_a") < F.col("seq_b")).alias("before"))
+
+
+def one_home(subs: DataFrame, members: DataFrame) -> DataFrame:
+    """Members with one subgraph a node: the deepest, then the first by name; the others are dropped."""
+    w = Window.partitionBy("name").orderBy(F.desc("depth"), "sub_id")
+    return members.join(subs.select("sub_id", "depth"), "sub_id").withColumn("k", F.row_number().over(w)).where("k = 1").select("sub_id", "name")

@@ -68,3 +68,69 @@ def expose(hidden: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame
     m = lambda col: members.select(F.col("name").alias(col), F.col("compound").alias(f"c_{col}"))
     inner = edges.join(m("tail"), "tail").join(m("head"), "head").where("c_tail = c_head").select("tail", "head")
     return back.unionByName(inner)
+
+
+def add_subgraphs(subs: DataFrame, new: DataFrame) -> DataFrame:
+    """Find-or-create: subs (sub_id, parent_sub, depth, path), new (sub_id, parent_sub); a parent must exist, one that is
+    null is the root."""
+    fresh = new.join(subs.select("sub_id"), "sub_id", "left_anti").dropDuplicates(["sub_id"])
+    up = subs.select(F.col("sub_id").alias("parent_sub"), F.col("depth").alias("d"), F.col("path").alias("p"))
+    placed = fresh.join(up, "parent_sub", "left").where("parent_sub IS NULL OR p IS NOT NULL")
+    path = F.concat(F.coalesce("p", F.array().cast("array<string>")), F.array("sub_id"))
+    made = placed.withColumn("depth", F.coalesce("d", F.lit(0)) + 1).withColumn("path", path)
+    return subs.unionByName(made.drop("d", "p"), allowMissingColumns=True)
+
+
+def add_members(nodes: DataFrame, members: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Insert new (sub_id, name) as members; a node that is not there yet is created."""
+    m = members.unionByName(new.select("sub_id", "name").distinct().join(members, ["sub_id", "name"], "left_anti"))
+    return add_nodes(nodes, new.select("name").distinct()), m
+
+
+def make_compound(nodes: DataFrame, members: DataFrame, subs: DataFrame, compounds: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tie nodes to subgraphs by new (compound, sub_id): (nodes, subgraphs, compounds). Nodes and subgraphs are created
+    where missing; a node or subgraph that is tied already keeps its partner."""
+    free = new.join(compounds.select("compound"), "compound", "left_anti").join(compounds.select("sub_id"), "sub_id", "left_anti")
+    free = free.dropDuplicates(["compound"]).dropDuplicates(["sub_id"])
+    grown = add_subgraphs(subs, free.select("sub_id", F.lit(None).cast("string").alias("parent_sub")))
+    return add_nodes(nodes, free.select(F.col("compound").alias("name"))), grown, compounds.unionByName(free.select("compound", "sub_id"))
+
+
+def collapse(nodes: DataFrame, compounds: DataFrame, subs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A compound node ``<subgraph>_cmp`` for every subgraph without one: (nodes, compounds). No edge moves."""
+    new = subs.join(compounds.select("sub_id"), "sub_id", "left_anti").select(F.concat("sub_id", F.lit("_cmp")).alias("compound"), "sub_id")
+    return add_nodes(nodes, new.select(F.col("compound").alias("name"))), compounds.unionByName(new)
+
+
+def hide_stacked(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``hide`` with an undo stack: edges (tail, head, ..., undo array<struct<tail, head>>); each call pushes the ends it
+    moves, so nested subgraphs can be hidden from the inside out. Inner edges stay, marked by ``hidden`` = their level."""
+    if "undo" not in edges.columns:
+        ends = f"array<struct<tail:{edges.schema['tail'].dataType.simpleString()},head:{edges.schema['head'].dataType.simpleString()}>>"
+        edges = edges.withColumn("undo", F.array().cast(ends)).withColumn("hidden", F.lit(0))
+    m = lambda col: members.select(F.col("name").alias(col), F.col("compound").alias(f"c_{col}"))
+    e = edges.join(m("tail"), "tail", "left").join(m("head"), "head", "left")
+    shown = F.col("hidden") == 0
+    e = e.withColumn("undo", F.concat("undo", F.array(F.struct("tail", "head"))))
+    inner = shown & F.col("c_tail").isNotNull() & (F.col("c_tail") == F.col("c_head"))
+    e = e.withColumn("hidden", F.when(inner, F.size("undo")).otherwise(F.col("hidden")))
+    move = lambda col: F.when(shown & ~F.coalesce(inner, F.lit(False)), F.coalesce(f"c_{col}", col)).otherwise(F.col(col))
+    return e.withColumn("tail", move("tail")).withColumn("head", move("head")).select(*edges.columns)
+
+
+def expose_stacked(edges: DataFrame) -> DataFrame:
+    """Undo the last ``hide_stacked``: every edge takes back the ends on top of its stack."""
+    top = F.element_at("undo", -1)
+    back = edges.withColumn("tail", F.when(F.size("undo") > 0, top["tail"]).otherwise(F.col("tail"))).withColumn("head", F.when(F.size("undo") > 0, top["head"]).otherwise(F.col("head")))
+    back = back.withColumn("hidden", F.when(F.col("hidden") == F.size("undo"), 0).otherwise(F.col("hidden")))
+    return back.withColumn("undo", F.when(F.size("undo") > 0, F.slice("undo", F.lit(1), F.size("undo") - 1)).otherwise(F.col("undo")))
+
+
+def apply_images(subs: DataFrame, members: DataFrame, before: bool = True) -> DataFrame:
+    """(name, sub_id, step): the images of a node in the order a callback sees them, outermost first (``before``) or
+    innermost first."""
+    from pyspark.sql import Window
+
+    held = members.join(subs.select("sub_id", "path"), "sub_id").select("name", F.explode("path").alias("sub_id")).distinct().join(subs.select("sub_id", "depth"), "sub_id")
+    order = F.col("depth") if before else F.desc("depth")
+    return held.select("name", "sub_id", F.row_number().over(Window.partitionBy("name").orderBy(order, "sub_id")).cast("long").alias("step"))

@@ -84,3 +84,19 @@ def cluster_areas(subs: DataFrame, sizes: DataFrame, margin: float = 8.0) -> Dat
         # only the level just done has parents at the next one
         done, out = here, here if out is None else out.unionByName(here)
     return out.select("sub_id", "area") if depth else subs.select("sub_id", F.lit(0.0).alias("area"))
+
+
+def cluster_crossings(segs: DataFrame, boxes: DataFrame, members: DataFrame, cell: float = 128.0) -> DataFrame:
+    """(tail, head, sub_id): edges (tail, head, ax, ay, bx, by) whose segment meets the box (sub_id, llx, lly, urx, ury) of
+    a cluster that holds neither end. Both are dealt to the grid cells of their extents and meet by equality of a cell."""
+    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell))
+    e = segs.withColumn("gx", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("gy", F.explode(span(F.col("ay"), F.col("by"))))
+    b = boxes.withColumn("gx", F.explode(span(F.col("llx"), F.col("urx")))).withColumn("gy", F.explode(span(F.col("lly"), F.col("ury"))))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    side = lambda x, y: dx * (F.col(y) - F.col("ay")) - dy * (F.col(x) - F.col("ax"))
+    corners = [side(x, y) for x in ("llx", "urx") for y in ("lly", "ury")]
+    apart = (F.greatest("ax", "bx") < F.col("llx")) | (F.least("ax", "bx") > F.col("urx")) | (F.greatest("ay", "by") < F.col("lly")) | (F.least("ay", "by") > F.col("ury"))
+    meets = ~apart & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
+    hit = e.join(b, ["gx", "gy"]).where(meets).select("tail", "head", "sub_id").distinct()
+    own = lambda c: members.select("sub_id", F.col("name").alias(c))
+    return hit.join(own("tail"), ["sub_id", "tail"], "left_anti").join(own("head"), ["sub_id", "head"], "left_anti").select("tail", "head", "sub_id")

@@ -1,6 +1,6 @@
 """Registered queries; importing this package registers them."""
 
-from weft.plans import algorithms, graph, layouts, measures, spatial  # noqa: F401
+from weft.plans import algorithms, graph, layouts, measures, spatial, structure  # noqa: F401
 
 
 def flagship(spark, sf_dir):

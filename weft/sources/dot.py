@@ -207,3 +207,113 @@ def write(nodes: DataFrame, edges: DataFrame, by: str, directed: bool = True) ->
     lines = F.transform(F.array_sort(F.collect_list(F.struct("part", "a", "b", "line"))), lambda x: x["line"])
     head = F.concat(F.lit("digraph " if directed else "graph "), lexical.quote(F.col(by).cast("string")), F.lit(" {\n"))
     return n.unionByName(e).groupBy(by).agg(lines.alias("lines")).select(by, F.concat(head, F.array_join("lines", "\n"), F.lit("\n}\n")).alias("text"))
+
+
+_BARE = re.compile(r"[A-Za-z_\x80-\uffff][\w\x80-\uffff]*|-?(?:\.\d+|\d+(?:\.\d*)?)")
+_KEYWORDS = {"graph", "digraph", "subgraph", "node", "edge", "strict"}
+
+
+def _id(text: str) -> str:
+    """A DOT identifier: bare, HTML, or quoted."""
+    if _BARE.fullmatch(text) and text.lower() not in _KEYWORDS or text.startswith("<") and text.endswith(">"):
+        return text
+    return '"' + text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
+
+
+def _bracket(attrs: dict) -> str:
+    return " [" + ", ".join(f"{_id(k)}={_id(v)}" for k, v in sorted(attrs.items())) + "]" if attrs else ""
+
+
+def canonical(rows: list[dict]) -> str:
+    """The DOT text of one graph's statement rows: attributes sorted, nodes and edges inside their deepest subgraph, each
+    once, in the order they came."""
+    graph = next(r for r in rows if r["kind"] == "graph")
+    arrow = " -> " if graph["attrs"].get("directed") == "true" else " -- "
+    head = ("strict " if graph["attrs"].get("strict") == "true" else "") + ("digraph" if arrow == " -> " else "graph") + (f" {_id(graph['name'])}" if graph["name"] else "")
+    nodes: dict = {}
+    for r in rows:
+        if r["kind"] in ("node", "attr"):
+            nodes.setdefault(r["name"], {}).update(r["attrs"])
+    subs = {r["name"]: r for r in rows if r["kind"] == "subgraph"}
+    depth: dict = {None: 0}
+    for name, r in subs.items():  # parents come first
+        depth[name] = depth.get(r["parent"], 0) + 1
+    home: dict = {}
+    for r in rows:
+        if r["kind"] == "member" and depth[r["sub"]] > depth[home.get(r["name"])]:
+            home[r["name"]] = r["sub"]
+
+    def block(sub, pad: str) -> list[str]:
+        out = [f"{pad}{_id(k)}={_id(v)};" for r in rows if r["kind"] == "graph_attr" and r["sub"] == sub for k, v in sorted(r["attrs"].items())]
+        for name, r in subs.items():
+            if r["parent"] == sub:
+                out += [f"{pad}subgraph {_id(name)} {{", *block(name, pad + "  "), pad + "}"]
+        out += [f"{pad}{_id(n)}{_bracket(a)};" for n, a in nodes.items() if home.get(n) == sub]
+        if sub is not None:  # members whose home is another subgraph
+            out += [f"{pad}{_id(r['name'])};" for r in rows if r["kind"] == "member" and r["sub"] == sub and home[r["name"]] != sub]
+        for r in rows:
+            if r["kind"] == "edge" and r["sub"] == sub:
+                ports = {k: v for k, v in r["attrs"].items() if k not in ("tailport", "headport")}
+                end = lambda name, port: _id(name) + "".join(":" + _id(p) for p in r["attrs"].get(port, "").split(":") if p)
+                key = {"key": r["ekey"]} if r["ekey"] and not re.fullmatch(r"_e\d+", r["ekey"]) else {}
+                out.append(f"{pad}{end(r['tail'], 'tailport')}{arrow}{end(r['head'], 'headport')}{_bracket(ports | key)};")
+        return out
+
+    return "\n".join([head + " {", *block(None, "  "), "}", ""])
+
+
+def problems(text: str) -> list[str]:
+    """What keeps a text from being DOT: characters outside the grammar, and brackets that do not match."""
+    out, at, open_ = [], 0, []
+    pairs = {"}": "{", "]": "["}
+    while at < len(text):
+        m = _TOKEN.search(text, at)
+        gap = text[at : m.start() if m else len(text)].strip()
+        if gap:
+            out.append(f"unexpected {gap[:20]!r}")
+        if not m:
+            break
+        tok, at = m.group(), m.end()
+        if tok == "<":
+            depth = 1
+            while at < len(text) and depth:
+                depth += {"<": 1, ">": -1}.get(text[at], 0)
+                at += 1
+            if depth:
+                out.append("unclosed <")
+        elif tok in "{[":
+            open_.append(tok)
+        elif tok in pairs and (not open_ or open_.pop() != pairs[tok]):
+            out.append(f"unmatched {tok}")
+    out += [f"unclosed {c}" for c in open_]
+    if not any(t.lower() in ("graph", "digraph") for t in _tokens(text)):
+        out.append("no graph")
+    return out
+
+
+def write_rows(rows: DataFrame) -> DataFrame:
+    """(file, graph, text): canonical DOT of statement rows with their subgraphs and attributes; a graph must fit a task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = pdf.sort_values("seq").astype(object).where(pdf.sort_values("seq").notna(), None).to_dict("records")
+        for r in table:
+            r["attrs"] = dict(r["attrs"] or {})
+        return pd.DataFrame({"file": [pdf["file"].iloc[0]], "graph": [int(pdf["graph"].iloc[0])], "text": [canonical(table)]})
+
+    return rows.groupBy("file", "graph").applyInPandas(run, "file string, graph int, text string")
+
+
+def canonicalize(texts: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
+    """Read and write: (file, graph, text)."""
+    return write_rows(parse_texts(texts, file, content))
+
+
+def validate(texts: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
+    """(file, problem): one row for each fault of a text, none for good ones."""
+
+    def run(frames):
+        for pdf in frames:
+            found = [(f, p) for f, t in zip(pdf["file"], pdf["content"]) for p in problems(t or "")]
+            yield pd.DataFrame(found, columns=["file", "problem"])
+
+    return texts.select(F.col(file).cast("string").alias("file"), F.col(content).alias("content")).mapInPandas(run, "file string, problem string")
