@@ -7,9 +7,9 @@ from tests.conftest import SF
 
 from weft import views
 from weft.functions import color
-from weft.operators import kernels, layout, spatial
+from weft.operators import kernels, layout, mutate, spatial
 from weft.plans import algorithms
-from weft.registry import QUERIES
+from weft.registry import QUERIES, SQL
 
 
 def test_typed_accessors_keeps_every_row(spark):
@@ -81,3 +81,19 @@ def test_treemap_of_areas_with_zeros():
     boxes = layout.treemap([4.0, 0.0, 0.0], 0, 0, 2, 2)
     assert boxes[0] == (0, 0, 2, 2) and boxes[1][2:] == (0.0, 0.0)
     assert layout.treemap([0.0, 0.0], 0, 0, 2, 2) == [(2, 2, 0.0, 0.0)] * 2
+
+
+def test_relabel_nodes_gives_names_that_are_taken(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 1, 3, 1), (1, 2, 5, 1), (2, 1, 1000003, 1), (2, 2, 6, 1)]
+    line = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").selectExpr("*", "50D AS l_quantity", "'R' AS l_returnflag")
+    line.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(SQL["relabel_nodes"]).fetchall()
+    got = [tuple(r) for r in QUERIES["relabel_nodes"](spark, str(tmp_path)).select("tail", "head").collect()]
+    assert sorted(got) == sorted(want) == [(1000003, 5), (1000003, 1000006)]
+    nodes, edges = spark.createDataFrame([(3,), (1000003,)], "name long"), spark.createDataFrame([(3, 1000003)], "tail long, head long")
+    kept = mutate.relabel(nodes, edges, spark.createDataFrame([(3, 1000003)], "name long, new_name long"))
+    assert kept[1].first()["tail"] == 3 and kept[0].count() == 2

@@ -37,9 +37,10 @@ def delete_subgraph(subs: DataFrame, members: DataFrame, sub_id: str) -> tuple[D
     return left, members.join(left.select("sub_id"), "sub_id", "left_semi")
 
 
-def relabel(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rename nodes by (name, new_name); a name already taken is refused (the old one stays)."""
-    free = names.join(nodes.select(F.col("name").alias("new_name")), "new_name", "left_anti")
+def relabel(nodes: DataFrame, edges: DataFrame, names: DataFrame, refuse: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rename nodes by (name, new_name); a name already taken is refused (the old one stays), or, without ``refuse``,
+    given all the same (both nodes then bear it)."""
+    free = names.join(nodes.select(F.col("name").alias("new_name")), "new_name", "left_anti") if refuse else names
     to = lambda col: free.select(F.col("name").alias(col), F.col("new_name").alias(f"new_{col}"))
     n = nodes.join(free, "name", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
     e = edges.join(to("tail"), "tail", "left").join(to("head"), "head", "left")
