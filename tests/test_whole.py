@@ -97,3 +97,28 @@ def test_relabel_nodes_gives_names_that_are_taken(spark, tmp_path):
     nodes, edges = spark.createDataFrame([(3,), (1000003,)], "name long"), spark.createDataFrame([(3, 1000003)], "tail long, head long")
     kept = mutate.relabel(nodes, edges, spark.createDataFrame([(3, 1000003)], "name long, new_name long"))
     assert kept[1].first()["tail"] == 3 and kept[0].count() == 2
+
+
+def placed(spark, n: int, seed: int):
+    r = random.Random(seed)
+    rows = [(i % 2, i, float(r.randint(-200, 200)), float(r.randint(-200, 200))) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "grp int, name int, x double, y double")
+
+
+def touching(a, b):
+    return a[0] == b[0] and all(abs(math.floor(a[k] / 64) - math.floor(b[k] / 64)) <= 1 for k in (2, 3))
+
+
+def test_repulsion_broadcasts_nothing_and_equals_brute_force(spark):
+    rows, df = placed(spark, 120, 11)
+    f = spatial.repulsion(df, ["grp"], 64.0, 30.0)
+    assert "Broadcast" not in f._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for a in rows:
+        for b in rows:
+            d2 = (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2
+            if a[1] != b[1] and touching(a, b) and d2:
+                x, y = want.get(a[:2], (0.0, 0.0))
+                want[a[:2]] = x + (a[2] - b[2]) * 900 / d2, y + (a[3] - b[3]) * 900 / d2
+    got = {(r["grp"], r["name"]): (r["fx"], r["fy"]) for r in f.collect()}
+    assert got.keys() == want.keys() and all(abs(p - q) < 1e-9 for k in got for p, q in zip(got[k], want[k]))

@@ -8,35 +8,50 @@ from pyspark.sql import functions as F
 from weft.functions.geometry import distance
 
 
+def _around(cx, cy, steps: list[tuple[int, int]]):
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps]))
+    return lambda df: df.withColumn("at", at).withColumn("cx", cx + F.col("at.i")).withColumn("cy", cy + F.col("at.j")).drop("at")
+
+
+NINE = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+
 def near_pairs(points: DataFrame, by: list[str], cell: float) -> DataFrame:
     """Pairs ``name_a < name_b`` of the same ``by`` whose grid cells touch, every other column twice
-    (``_a``, ``_b``). One side is dealt to its own cell and the other to the nine around it, so the join is
-    an equi-join and a pair meets once."""
+    (``_a``, ``_b``). One side is dealt to its own cell and the other to that and the four cells after it, so the join is
+    an equi-join and a pair meets once. The dealt side is a multiple of the table, which Spark's estimate does not see:
+    both are sorted, neither is broadcast."""
     rest = [c for c in points.columns if c not in by]
     cx, cy = F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = points.select(*by, cx.alias("cx"), cy.alias("cy"), *[F.col(c).alias(f"{c}_a") for c in rest])
-    right = points.withColumn("at", F.explode(around)).select(*by, (cx + F.col("at.i")).alias("cx"), (cy + F.col("at.j")).alias("cy"), *[F.col(c).alias(f"{c}_b") for c in rest])
-    return left.join(right, [*by, "cx", "cy"]).where("name_a < name_b").drop("cx", "cy")
+    left = points.select(*by, cx.alias("cx"), cy.alias("cy"), F.struct(*rest).alias("p"))
+    right = _around(cx, cy, [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)])(points.withColumn("own", cx).withColumn("own_y", cy))
+    right = right.select(*by, "cx", "cy", ((F.col("own") == F.col("cx")) & (F.col("own_y") == F.col("cy"))).alias("same"), F.struct(*rest).alias("q"))
+    met = left.hint("merge").join(right, [*by, "cx", "cy"]).where("p.name < q.name OR p.name > q.name AND NOT same")
+    turn = F.col("p.name") > F.col("q.name")
+    one, two = F.when(turn, F.col("q")).otherwise(F.col("p")), F.when(turn, F.col("p")).otherwise(F.col("q"))
+    return met.select(*by, one.alias("p"), two.alias("q")).select(*by, *[F.col(f"p.{c}").alias(f"{c}_a") for c in rest], *[F.col(f"q.{c}").alias(f"{c}_b") for c in rest])
 
 
 def close_pairs(boxes: DataFrame, by: list[str], sep: float) -> DataFrame:
     """Pairs ``name_a < name_b`` of boxes of the same ``by`` that may lie closer than ``sep``, every other column twice.
 
-    A box stands in the grid of its size class (cells of the least power of two that its larger side plus ``sep``
-    does not exceed). In each pair the box of the larger class stands in the cell of its middle, the other one
-    in the nine cells around its own of that class's grid, so no box is too large and cells stay as small as they can."""
+    A box's size class is the power of two of its larger side plus ``sep``. Each class has a grid whose cells are as wide
+    and as high as the widest and the highest box of this and the smaller classes, plus ``sep``. In each pair the box
+    of the larger class stands in the cell of its middle, the other one in the nine cells around its own of that class's
+    grid, so no box is too large and cells stay as small as they can. Neither side of the join is broadcast."""
     rest = [c for c in boxes.columns if c not in by]
     level = F.ceil(F.log2(F.greatest(F.col("width"), F.col("height"), F.lit(1e-9)) + sep)).cast("int")
-    sized = boxes.withColumn("level", level)
-    levels = sized.groupBy(*by).agg(F.collect_set("level").alias("levels"))  # as many entries as there are powers of two
-    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level")))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    big = sized.select(*by, "level", cell("x").alias("cx"), cell("y").alias("cy"), *[F.col(c).alias(f"{c}_a") for c in rest])
-    small = sized.withColumnRenamed("level", "own").join(levels, by) if by else sized.withColumnRenamed("level", "own").crossJoin(F.broadcast(levels))  # one row
-    small = small.withColumn("level", F.explode(F.filter("levels", lambda x: x >= F.col("own")))).withColumn("at", F.explode(around))
-    small = small.select(*by, "level", (cell("x") + F.col("at.i")).alias("cx"), (cell("y") + F.col("at.j")).alias("cy"), "own", *[F.col(c).alias(f"{c}_b") for c in rest])
-    met = big.join(small, [*by, "level", "cx", "cy"]).where("own < level OR name_a < name_b")
+    sized = boxes.withColumn("own", level)
+    sizes = sized.groupBy(*by, "own").agg(F.max("width").alias("w"), F.max("height").alias("h")).groupBy(*by).agg(F.collect_list(F.struct("own", "w", "h")).alias("sizes"))
+    # as many entries as there are powers of two; a little wide, as quotients are rounded
+    side = lambda g, c: F.greatest(F.array_max(F.transform(F.filter("sizes", lambda x: x.own <= g.own), lambda x: x[c])) + sep, F.lit(1e-9)) * (1 + 1e-9)
+    grids = sizes.select(*by, F.transform("sizes", lambda g: F.struct(g.own.alias("level"), side(g, "w").alias("w"), side(g, "h").alias("h"))).alias("grids"))
+    sized = sized.join(grids, by) if by else sized.crossJoin(F.broadcast(grids))  # one row
+    dealt = lambda keep: sized.withColumn("g", F.explode(F.filter("grids", keep))).withColumn("level", F.col("g.level"))
+    cx, cy = F.floor(F.col("x") / F.col("g.w")), F.floor(F.col("y") / F.col("g.h"))
+    big = dealt(lambda g: g.level == F.col("own")).select(*by, "level", cx.alias("cx"), cy.alias("cy"), *[F.col(c).alias(f"{c}_a") for c in rest])
+    small = _around(cx, cy, NINE)(dealt(lambda g: g.level >= F.col("own"))).select(*by, "level", "cx", "cy", "own", *[F.col(c).alias(f"{c}_b") for c in rest])
+    met = big.hint("merge").join(small, [*by, "level", "cx", "cy"]).where("own < level OR name_a < name_b")
     turn = F.col("name_a") > F.col("name_b")
     return met.select(*by, *[x for c in rest for x in (F.when(turn, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_a"), F.when(turn, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_b"))])
 
@@ -50,12 +65,14 @@ def overlap_pairs(boxes: DataFrame, by: list[str], sep: float) -> DataFrame:
 def repulsion(points: DataFrame, by: list[str], cell: float, k: float) -> DataFrame:
     """(by..., name, fx, fy): the push of nodes in touching cells, k^2 / distance^2 along the line between
     them; nodes at one place do not push."""
-    near = near_pairs(points, by, cell)
+    cx, cy = F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)
+    left = points.select(*by, "name", F.col("x").alias("x_a"), F.col("y").alias("y_a"), cx.alias("cx"), cy.alias("cy"))
+    right = _around(cx, cy, NINE)(points).select(*by, "cx", "cy", F.col("name").alias("name_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"))
     dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")
     d2 = dx * dx + dy * dy
-    near = near.where(d2 > 0).select(*by, "name_a", "name_b", (dx * (k * k) / d2).alias("fx"), (dy * (k * k) / d2).alias("fy"))
-    both = near.select(*by, F.col("name_a").alias("name"), "fx", "fy").unionByName(near.select(*by, F.col("name_b").alias("name"), (-F.col("fx")).alias("fx"), (-F.col("fy")).alias("fy")))
-    return both.groupBy(*by, "name").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+    # the join hands over a node's pairs in a row, so they are summed before anything is shuffled
+    near = left.hint("merge").join(right, [*by, "cx", "cy"]).where((F.col("name") != F.col("name_b")) & (d2 > 0))
+    return near.groupBy(*by, "name").agg(F.sum(dx * (k * k) / d2).alias("fx"), F.sum(dy * (k * k) / d2).alias("fy"))
 
 
 def stress_terms(dist: DataFrame, places: DataFrame, unit: float = 72.0) -> DataFrame:
