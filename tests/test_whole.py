@@ -122,3 +122,12 @@ def test_repulsion_broadcasts_nothing_and_equals_brute_force(spark):
                 want[a[:2]] = x + (a[2] - b[2]) * 900 / d2, y + (a[3] - b[3]) * 900 / d2
     got = {(r["grp"], r["name"]): (r["fx"], r["fy"]) for r in f.collect()}
     assert got.keys() == want.keys() and all(abs(p - q) < 1e-9 for k in got for p, q in zip(got[k], want[k]))
+
+
+def test_near_pairs_broadcasts_nothing_and_equals_brute_force(spark):
+    rows, df = placed(spark, 150, 12)
+    p = spatial.near_pairs(df, ["grp"], 64.0)
+    assert "Broadcast" not in p._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in p.select("grp", "name_a", "x_a", "y_a", "name_b", "x_b", "y_b").collect()]
+    want = {(*a, *b[1:]) for a in rows for b in rows if a[1] < b[1] and touching(a, b)}
+    assert len(got) == len(set(got)) and set(got) == want
