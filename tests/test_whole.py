@@ -131,3 +131,13 @@ def test_near_pairs_broadcasts_nothing_and_equals_brute_force(spark):
     got = [tuple(r) for r in p.select("grp", "name_a", "x_a", "y_a", "name_b", "x_b", "y_b").collect()]
     want = {(*a, *b[1:]) for a in rows for b in rows if a[1] < b[1] and touching(a, b)}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_close_pairs_of_flat_boxes_meet_in_flat_cells(spark):
+    r = random.Random(13)
+    rows = [(0, i, r.uniform(0, 1000), r.uniform(0, 1000), r.uniform(20, 70), r.uniform(10, 16)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "grp int, name int, x double, y double, width double, height double")
+    p = spatial.close_pairs(df, ["grp"], 2.0)
+    assert "SortMergeJoin" in p._jdf.queryExecution().executedPlan().toString()
+    # cells of 128 x 128 would make about 80,000 of them; those that overlap are about 3,000
+    assert p.count() < 6 * spatial.overlap_pairs(df, ["grp"], 2.0).count()
