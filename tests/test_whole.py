@@ -159,3 +159,31 @@ def test_scale_factor_counts_pairs_without_forming_them(spark):
     twice = df.unionByName(df.where("name = 900").withColumn("name", F.lit(902)))
     assert layout.scale_factor(twice, 2.0).first()["factor"] == math.inf
     assert tuple(layout.scale_factor(df.limit(0), 2.0).first()) == (1.0, 0)
+
+
+def test_rank_crossings_counts_pairs_without_forming_them(spark):
+    r = random.Random(15)
+    rows = [(r.randint(0, 2), r.randint(0, 40), r.randint(0, 40)) for _ in range(300)] + [(7, 1, 1), (7, 2, 2)]
+    got = layout.rank_crossings(spark.createDataFrame(rows, "rank long, t long, h long"))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {k: sum(a[0] == b[0] == k and a[1] < b[1] and a[2] > b[2] for a in rows for b in rows) for k in range(3)}
+    assert {x["rank"]: x["crossings"] for x in got.collect()} == want
+
+
+def random_segments(spark, n: int):
+    r = random.Random(16)
+    segs = [(i % 7, i, *(float(r.randint(0, 60)) for _ in range(4))) for i in range(n)]
+    return segs, spark.createDataFrame(segs, "tail long, head long, ax double, ay double, bx double, by double")
+
+
+def cross(a, b):
+    side = lambda s, x, y: (x - s[2]) * (s[5] - s[3]) - (s[4] - s[2]) * (y - s[3])
+    return side(a, *b[2:4]) * side(a, *b[4:6]) < 0 and side(b, *a[2:4]) * side(b, *a[4:6]) < 0
+
+
+def test_crossing_pairs_meet_in_strips_and_equal_brute_force(spark):
+    segs, df = random_segments(spark, 250)
+    p = algorithms.crossing_pairs(df)
+    assert "Join" not in p._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(x) for x in p.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(*a[:2], *b[:2]) for a in segs for b in segs if a[:2] < b[:2] and cross(a, b)}
