@@ -187,3 +187,13 @@ def test_crossing_pairs_meet_in_strips_and_equal_brute_force(spark):
     assert "Join" not in p._jdf.queryExecution().executedPlan().toString()
     got = [tuple(x) for x in p.collect()]
     assert len(got) == len(set(got)) and set(got) == {(*a[:2], *b[:2]) for a in segs for b in segs if a[:2] < b[:2] and cross(a, b)}
+
+
+def test_edge_colors_form_no_table_of_crossings(spark):
+    segs, df = random_segments(spark, 250)
+    c = algorithms.edge_colors(df)
+    assert "Join" not in c._jdf.queryExecution().executedPlan().toString()
+    order = sorted(segs)
+    clash = [(i, j) for i, a in enumerate(order) for j, b in enumerate(order) if i < j and cross(a, b)]
+    want = kernels.greedy_colors(len(order), clash, len(color.EDGE_PALETTE))
+    assert {r["edge"]: r["color"] for r in c.collect()} == {f"{s[0]:09d}-{s[1]:09d}": color.EDGE_PALETTE[k] for s, k in zip(order, want)}
