@@ -197,3 +197,11 @@ def test_edge_colors_form_no_table_of_crossings(spark):
     clash = [(i, j) for i, a in enumerate(order) for j, b in enumerate(order) if i < j and cross(a, b)]
     want = kernels.greedy_colors(len(order), clash, len(color.EDGE_PALETTE))
     assert {r["edge"]: r["color"] for r in c.collect()} == {f"{s[0]:09d}-{s[1]:09d}": color.EDGE_PALETTE[k] for s, k in zip(order, want)}
+
+
+def test_compatible_pairs_broadcast_nothing(spark):
+    segs, df = random_segments(spark, 250)
+    p = algorithms.compatible_pairs(df)
+    assert "Broadcast" not in p._jdf.queryExecution().executedPlan().toString()
+    want = {(*a[:2], *b[:2]) for a in segs for b in segs if a[:2] < b[:2] and round(compat(a[2:], b[2:]), 6) >= 0.5}
+    assert {tuple(x)[:4] for x in p.collect()} == want
