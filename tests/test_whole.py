@@ -205,3 +205,23 @@ def test_compatible_pairs_broadcast_nothing(spark):
     assert "Broadcast" not in p._jdf.queryExecution().executedPlan().toString()
     want = {(*a[:2], *b[:2]) for a in segs for b in segs if a[:2] < b[:2] and round(compat(a[2:], b[2:]), 6) >= 0.5}
     assert {tuple(x)[:4] for x in p.collect()} == want
+
+
+def test_small_components_are_dealt_to_many_tasks(spark):
+    import numpy as np
+
+    edges = spark.createDataFrame([(10 * i, 10 * i + 1) for i in range(60)] + [(601 + i, 602 + i) for i in range(40)], "tail long, head long")
+    got = layout.lay_out(views.endpoints(edges), edges, "fdp")
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 161 and len({r["task"] for r in rows}) > 4
+    for names, pairs in ([0, 1], [(0, 1)]), (list(range(601, 642)), [(601 + i, 602 + i) for i in range(40)]):
+        want = layout.force_layout(names, pairs)
+        assert np.array_equal(want, [(r["x"], r["y"]) for v in names for r in rows if r["name"] == v])
+
+
+def test_shapes_are_drawn_as_their_components_are():
+    import numpy as np
+
+    names, pairs = [3, 5, 8, 13], [(3, 5), (5, 8), (8, 3), (8, 8), (13, 3)]
+    for kernel in layout.ENGINES.values():
+        assert np.array_equal(layout.draw(kernel, names, pairs), kernel(names, pairs))

@@ -6,26 +6,59 @@ the unit of parallelism, so a component must fit a task.
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weft.operators.traverse import connected_components
 
+BATCH = 10_000  # rows handed on at once
+
 
 def per_component(nodes: DataFrame, edges: DataFrame, kernel, schema: str) -> DataFrame:
-    """Run ``kernel(edges sorted by tail, head; list of nodes)`` per connected component."""
+    """Run ``kernel(names, pairs)`` (sorted list of nodes; edges sorted by tail, head) per connected component.
+
+    Components are dealt by number to a fixed count of tasks, which adaptive execution does not merge however small the
+    table is, as the kernels' work has nothing to do with its bytes. A task reads its components one after the other
+    from a sorted stream and hands their rows on in batches, so many small ones cost no group each."""
     comp = connected_components(nodes, edges)
     loops = comp.select("component", F.col("name").alias("tail"), F.lit(None).cast(comp.schema["name"].dataType).alias("head"))
     inside = edges.join(comp.select(F.col("name").alias("tail"), "component"), "tail").select("component", "tail", "head")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf.loc[pdf["head"].isna(), "tail"].tolist())
-        e = pdf[pdf["head"].notna()].sort_values(["tail", "head"])
-        pairs = list(zip(e["tail"].tolist(), e["head"].astype(e["tail"].dtype).tolist())) if len(e) else []
-        return pd.DataFrame(kernel(names, pairs))
-
-    return inside.unionByName(loops).groupBy("component").applyInPandas(run, schema)
+    spark = nodes.sparkSession
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    columns = T._parse_datatype_string(schema).names
+
+    def run(batches):
+        rows = ((c, t, h) for b in batches for c, t, h in zip(*(b.column(k).to_pylist() for k in range(3))))
+        out: dict = {c: [] for c in columns}
+        for _, group in groupby(rows, key=itemgetter(0)):
+            names, pairs = [], []
+            for _, t, h in group:  # nodes first
+                names.append(t) if h is None else pairs.append((t, h))
+            found = kernel(names, pairs)
+            if isinstance(found, list):
+                found = {c: [r[c] for r in found] for c in columns}
+            for c in columns:
+                out[c].extend(found[c])
+            if len(out[columns[0]]) >= BATCH:
+                yield pd.DataFrame(out)
+                out = {c: [] for c in columns}
+        if out[columns[0]]:
+            yield pd.DataFrame(out)
+
+    def frames(batches):
+        for pdf in run(batches):
+            yield pa.RecordBatch.from_pandas(pdf, schema=arrow, preserve_index=False)
+
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    dealt = inside.unionByName(loops).repartition(tasks, "component").sortWithinPartitions("component", F.col("head").isNotNull(), "tail", "head")
+    return dealt.mapInArrow(frames, schema)
 
 
 def neighbours(pairs, both: bool = True) -> dict:
