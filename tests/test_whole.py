@@ -225,3 +225,21 @@ def test_shapes_are_drawn_as_their_components_are():
     names, pairs = [3, 5, 8, 13], [(3, 5), (5, 8), (8, 3), (8, 8), (13, 3)]
     for kernel in layout.ENGINES.values():
         assert np.array_equal(layout.draw(kernel, names, pairs), kernel(names, pairs))
+
+
+def test_edge_colors_do_not_meet_all_pairs(monkeypatch):
+    import numpy as np
+
+    from weft.operators import strips
+
+    r, met = random.Random(17), []
+    segs = [tuple(float(r.randint(0, 500)) for _ in range(4)) for _ in range(900)]
+    keep = strips._cross
+    monkeypatch.setattr(strips, "_cross", lambda a, b: (met.append((x := keep(a, b)).size), x)[1])
+    got = strips.greedy_colors(*np.array(segs).T, block=16, wide=8)
+    assert sum(met) < 900 * 899 / 2 / 2
+    clash = [(i, j) for j, b in enumerate(segs) for i, a in enumerate(segs[:j]) if cross((0, 0, *a), (0, 0, *b))]
+    assert got.tolist() == kernels.greedy_colors(900, clash, 10**9)
+    assert strips.greedy_colors(*np.empty((4, 0))).tolist() == []
+    same = np.array([segs[0], segs[1], segs[0], segs[0][2:] + segs[0][:2]] * 3).T
+    assert len(set(strips.greedy_colors(*same, block=5, wide=2))) <= 2
