@@ -243,3 +243,18 @@ def test_edge_colors_do_not_meet_all_pairs(monkeypatch):
     assert strips.greedy_colors(*np.empty((4, 0))).tolist() == []
     same = np.array([segs[0], segs[1], segs[0], segs[0][2:] + segs[0][:2]] * 3).T
     assert len(set(strips.greedy_colors(*same, block=5, wide=2))) <= 2
+
+
+def test_overlapping_boxes_meet_in_arrays_not_in_a_join(spark, monkeypatch):
+    from weft.operators import strips
+
+    monkeypatch.setattr(strips, "CELLS", 50)
+    r = random.Random(18)
+    rows = [(i % 3, f"n{i}", float(r.randint(-60, 60)), r.randint(-90, 90) / 4, r.choice([1.0, 3.0, 9.0, 70.0]), r.choice([0.5, 2.0, 40.0])) for i in range(260)]
+    rows += [(1, "same", 0.0, 0.0, 2.0, 2.0), (1, "same", 0.0, 0.0, 2.0, 2.0), (2, "none", None, 0.0, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "grp int, name string, x double, y double, width double, height double")
+    assert "SortMergeJoin" not in spatial.overlap_pairs(df, [], 2.0)._jdf.queryExecution().executedPlan().toString()
+    over = lambda a, b: all(abs(a[k] - b[k]) < (a[k + 2] + b[k + 2]) / 2 + 2 for k in (2, 3))
+    want = [(a[0], b[0], a[1], b[1]) for a in rows[:-1] for b in rows[:-1] if a[1] < b[1] and over(a, b)]
+    got = lambda by: sorted(tuple(x) for x in spatial.overlap_pairs(df, by, 2.0).collect())
+    assert got([]) == sorted(x[2:] for x in want) and got(["grp"]) == sorted(x[1:] for x in want if x[0] == x[1])
